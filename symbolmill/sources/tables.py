@@ -38,3 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, counted here; beyond that Spark shuffles it.
+
+    Meant for narrow key lists that are cheap to count, such as a written table.
+    """
+    few = df.limit(limit + 1).count() <= limit
+    return F.broadcast(df) if few else df
