@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolmill.llm.shingles import chunks, shingles
-from symbolmill.sources.tables import cut
+from symbolmill.sources.tables import checked_broadcast, cut
 
 WIDTH = 5
 #: Counters of the sketch (a byte each): 16 MB, whatever the data's size.
@@ -172,7 +172,7 @@ def near_duplicates(records: DataFrame, t10: int = 7, least: int = 60, width: in
     classes = cut(named.join(reps, ["side", "one", "two", "n"]).select("rid", "rep").distinct())
 
     short = F.length("text") >= least  # a text of so many tokens has so many characters
-    own = records.filter(short).join(classes.filter("rid <> rep").select("rid"), "rid", "left_anti")
+    own = records.filter(short).join(checked_broadcast(classes.filter("rid <> rep").select("rid")), "rid", "left_anti")
     f, schema = _posts(width, least, t10, bits, sketch)
     posts = own.mapInArrow(f, schema)
     left = posts.select("key", F.col("rid").alias("a"), F.col("meta").alias("ma"))
@@ -185,7 +185,7 @@ def near_duplicates(records: DataFrame, t10: int = 7, least: int = 60, width: in
         .filter("shared >= asked").select("a", "b")
     )
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    wanted = checked_broadcast(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
     f, schema = _sets(width)
     sets = cut(records.join(wanted, "rid", "left_semi").mapInArrow(f, schema))
     f, schema = _verify(t10)
