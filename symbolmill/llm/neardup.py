@@ -3,7 +3,8 @@
 Every text becomes its set of distinct runs of five tokens. In one global order (rare first) two sets of Jaccard
 similarity ``t`` or more share at least L runs among the first n - ceil(t n) + L of each, for any L. The prefix of each
 document is lengthened (L is raised) while that lowers its estimated cost: entries posted plus candidates expected. A
-pair is verified only if it shares as many prefix runs as the smaller of its two L. Candidates are therefore complete.
+pair is verified only if it shares as many prefix runs as the smaller of its two L, and so many that the rest of the sets
+can still make up the overlap that its two sizes ask for. Candidates are therefore complete.
 
 The order comes from a count sketch of fixed size over all occurrences in all documents. Texts with equal tokens are one
 class: only its least id is indexed, its members are joined back at the end.
@@ -177,12 +178,15 @@ def near_duplicates(records: DataFrame, t10: int = 7, least: int = 60, width: in
     posts = own.mapInArrow(f, schema)
     left = posts.select("key", F.col("rid").alias("a"), F.col("meta").alias("ma"))
     right = posts.select("key", F.col("rid").alias("b"), F.col("meta").alias("mb"))
-    na, nb = F.expr("ma div 16"), F.expr("mb div 16")
+    na, nb, la, lb = F.expr("ma div 16"), F.expr("mb div 16"), F.expr("ma % 16"), F.expr("mb % 16")
+    # all common runs up to the earlier end of the two prefixes were counted; the set whose prefix ends there has only its rest left
+    need = F.expr(f"({t10} * (ma div 16 + mb div 16) + {9 + t10}) div {10 + t10}")
+    rest = F.greatest(F.expr(f"({t10} * (ma div 16) + 9) div 10") - la, F.expr(f"({t10} * (mb div 16) + 9) div 10") - lb)
     pairs = (
         left.join(right.hint("merge"), "key")
         .filter((F.col("a") < F.col("b")) & (na * t10 <= nb * 10) & (nb * t10 <= na * 10))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least(F.col("ma") % 16, F.col("mb") % 16)).alias("asked"))
-        .filter("shared >= asked").select("a", "b")
+        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
+        .filter(F.col("shared") >= F.greatest(F.least(la, lb), need - rest)).select("a", "b")
     )
     pairs = cut(pairs)
     wanted = checked_broadcast(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
