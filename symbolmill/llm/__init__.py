@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_unparsed", "q_docpairs", "q_secrets", "q_provenance", "q_neardup", "q_tokens", "q_packing")
+MODULES = ("q_language", "q_unparsed", "q_docpairs", "q_secrets", "q_provenance", "q_neardup", "q_tokens", "q_packing")
 
 
 def queries():
