@@ -30,8 +30,8 @@ def names_in_words(words: DataFrame, names: DataFrame) -> DataFrame:
     a, b = max(lengths["a"], 1), lengths["b"]
     sizes = F.expr(f"filter(sequence({a}, {b}), n -> n <= length(word))")
     sized = words.filter(F.length("word") >= a).select("word", F.explode(sizes).alias("n"))
-    parts = sized.select("word", F.explode(F.expr("transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n))")).alias("name")).distinct()
-    return parts.join(names, "name")
+    parts = sized.select("word", F.explode(F.expr("transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n))")).alias("name"))
+    return parts.join(names, "name").distinct()
 
 
 def reference_edges(symbols: DataFrame, words_only: bool = False) -> DataFrame:

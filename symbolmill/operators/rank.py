@@ -113,8 +113,9 @@ def search(symbols: DataFrame, query: str, limit: int | None = 20, code: bool =
     hits = base.select(
         "symbol_id", "name", "type", "file_path", "ordinal", total.alias("score"), F.filter(F.array(*[r for _, r in signals]), lambda r: r.isNotNull()).alias("match_reason"),
         F.when(F.size(marks) > 0, marks).otherwise(F.array("name")).alias("highlights"),
-    ).filter("score > 0")
-    return hits if limit is None else hits.orderBy(F.desc("score"), *ORDER).limit(limit)
+    )
+    # filtered behind the limit, scores are computed once; in front of it Catalyst would compute them for the filter too
+    return hits.filter("score > 0") if limit is None else hits.orderBy(F.desc("score"), *ORDER).limit(limit).filter("score > 0")
 
 
 def within_budget(ranked: DataFrame, text: Column, order: list, budget: int, header: int = 0) -> DataFrame:
