@@ -8,15 +8,10 @@ OUT, BEGIN, IN = 0, 1, 2
 LABELS = 3
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]], rounds: int = 90, rate: float = 0.5, decay: float = 1e-5) -> dict:
     """Weights by feature name and transitions, from feature lists and labels of each token of each line.
 
-    The likelihood's gradient comes from forward and backward sums over all lines at once; steps are Adam's.
+    The likelihood's gradient comes from scaled forward and backward sums over all lines at once; steps are Adam's.
     """
     names: dict[str, int] = {}
     for line in lines:
@@ -34,38 +29,42 @@ def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[in
             ids[i, k, : len(token)] = [names[f] for f in token]
     mask = (np.arange(most)[None] < length[:, None]).astype(float)
     w, tr = np.zeros((pad + 1, LABELS)), np.zeros((LABELS, LABELS))
-    ban = np.zeros((LABELS, LABELS))
-    ban[OUT, IN] = -1e4
-    start = np.array([0.0, 0.0, -1e4])
+    allowed = np.ones((LABELS, LABELS))
+    allowed[OUT, IN] = 0
+    first = np.array([1.0, 1.0, 0.0])
+    live = mask.T[:, :, None] > 0
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
     onehot = np.eye(LABELS)[gold]
+    seen = np.einsum("nki,nkj->ij", onehot[:, :-1] * mask[:, 1:, None], onehot[:, 1:])
+    real = np.flatnonzero(mask.reshape(-1))
+    own = ids.reshape(-1, width)[real]
+    e = np.zeros((n * most, LABELS))
     for step in range(1, rounds + 1):
-        e = w[ids].sum(axis=2)
-        a, b = np.zeros((n, most, LABELS)), np.zeros((n, most, LABELS))
-        t = tr + ban
-        a[:, 0] = start + e[:, 0]
-        for k in range(1, most):
-            new = _lse(a[:, k - 1][:, :, None] + t[None], 1) + e[:, k]
-            a[:, k] = np.where(mask[:, k, None] > 0, new, a[:, k - 1])
+        e = e.reshape(-1, LABELS)
+        e[real] = w[own].sum(axis=1)
+        e = e.reshape(n, most, LABELS)
+        t = np.exp(tr) * allowed
+        w_e = np.exp(e - e.max(axis=2, keepdims=True))
+        a, b, c = np.empty((most, n, LABELS)), np.ones((most, n, LABELS)), np.ones((most, n, 1))
+        for k in range(most):
+            new = (first if k == 0 else a[k - 1] @ t) * w_e[:, k]
+            c[k] = new.sum(axis=1, keepdims=True)
+            a[k] = new / c[k] if k == 0 else np.where(live[k], new / c[k], a[k - 1])
         for k in range(most - 2, -1, -1):
-            new = _lse(t[None] + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2)
-            b[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0.0)
-        z = _lse(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None]) * mask[:, :, None]
+            b[k] = np.where(live[k + 1], (w_e[:, k + 1] * b[k + 1]) @ t.T / c[k + 1], 1.0)
+        p = (a * b).transpose(1, 0, 2) * mask[:, :, None]
         ge = (onehot * mask[:, :, None] - p).reshape(-1, LABELS)
         gw = np.zeros_like(w)
-        flat = ids.reshape(-1, width)
-        for c in range(width):
-            for y in range(LABELS):
-                gw[:, y] += np.bincount(flat[:, c], ge[:, y], pad + 1)
-        pair = np.exp(a[:, :-1, :, None] + t[None, None] + (e + b)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        gt = np.einsum("nki,nkj->ij", onehot[:, :-1] * mask[:, 1:, None], onehot[:, 1:]) - pair.sum(axis=(0, 1))
+        for y in range(LABELS):
+            gw[:, y] = np.bincount(own.ravel(), np.repeat(ge[real, y], width), pad + 1)
+        ahead = np.where(live[1:], w_e.transpose(1, 0, 2)[1:] * b[1:] / c[1:], 0.0)
+        gt = seen - t * np.einsum("kni,knj->ij", a[:-1], ahead, optimize=True)
         for x, g, m, v in ((w, gw / n - decay * w, *moments[:2]), (tr, gt / n, *moments[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w[pad] = 0
-    return {"w": {f: w[i].tolist() for f, i in names.items()}, "t": (tr + ban).tolist(), "s": start.tolist()}
+    return {"w": {f: w[i].tolist() for f, i in names.items()}, "t": np.where(allowed > 0, tr, -1e4).tolist(), "s": np.where(first > 0, 0.0, -1e4).tolist()}
 
 
 def viterbi(model: dict, line: Sequence[Sequence[str]]) -> list[int]:

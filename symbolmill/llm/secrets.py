@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from symbolmill.llm.crf import BEGIN, IN, OUT, train, viterbi
 
 #: Most rows of each table whose lines serve to fit the field.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 800
 #: Most lines that serve to fit the field.
-TRAIN_LINES = 3600
+TRAIN_LINES = 3000
 #: Longest line, in tokens, that serves to fit the field; lines to label may be of any length.
 LONGEST = 30
 #: Words near which a secret may stand, lower case; in the languages of the corpus.
@@ -329,7 +329,7 @@ def composed(n: int = 900) -> list[str]:
     more = [
         lambda v: f"// {r.choice(['password', 'pass:', 'passwort', 'tmp key=', 'login: x / pass:'])} {v}", lambda v: f'url = "mysql://{word()}:{v}@db.{word()}.example:{r.randrange(1000, 9999)}/{word()}"', lambda v: f'connect{word().title()}("db.{word()}.example", "{word()}", "{v}");',
         lambda v: f'h = "Authorization: Bearer {v}"', lambda v: f'u = "https://x.{word()}.example/{word()}?token={v}"', lambda v: f'h1 = "X-Api-Key: {v}"', lambda v: f"# tmp key={v}", lambda v: f"url = https://svc:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}", lambda v: f"{word()}_url=amqp://{word()}:{v}@x.{word()}.example/{word()}",
-        lambda v: f'column-url: "redis://{word()}:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}"', lambda v: f'auth = "Token {v}"', lambda v: f'@passphrase "{v}"', lambda v: f'login_{word()}("db.{word()}.example", \'prefix\', \'{v}\')',
+        lambda v: f'column-url: "redis://{word()}:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}"', lambda v: f'{r.choice(["auth", "HEADER", "val header"])} = "Token {v}"', lambda v: f'callback = "https://x.{word()}.example/{word()}?sig={v}"', lambda v: f'@passphrase "{v}"', lambda v: f'login_{word()}("db.{word()}.example", \'prefix\', \'{v}\')',
     ]
     lines = ['key = "-----BEGIN RSA PRIVATE KEY-----\\n', "pem: -----BEGIN PRIVATE KEY-----", 'publicKey = "-----BEGIN CERTIFICATE-----', "pub = `-----BEGIN PUBLIC KEY-----"]
     more.append(lambda v: f'{r.choice(["h1", "auth", "AUTHORIZATION"])} = "Basic {base64.b64encode(f"{word()}:{v}".encode()).decode()}"')
