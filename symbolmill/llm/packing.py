@@ -42,12 +42,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     capacity = int(pdf["capacity"].iloc[0])
-    pdf = pdf.assign(_bin=best_fit(pdf["fill"].to_numpy(), capacity))
-    rows = []
-    for _, g in pdf.groupby("_bin", sort=False):
-        rows.append((g["fill"].sum(), g["bin_id"].min(), [m for ms in g["members"] for m in ms]))
-    fill, ids, members = zip(*rows)
-    return pd.DataFrame({"container": pdf["container"].iloc[0], "capacity": capacity, "bin_id": ids, "fill": fill, "members": members})
+    bins = best_fit(pdf["fill"].to_numpy(), capacity)
+    order = np.argsort(bins, kind="stable")
+    starts = np.searchsorted(bins[order], np.arange(bins.max() + 1))
+    fill = np.add.reduceat(pdf["fill"].to_numpy()[order], starts)
+    ids, members = pdf["bin_id"].to_numpy()[order], pdf["members"].to_numpy()[order]
+    cuts = [*starts.tolist(), len(order)]
+    least = [min(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+    held = [[m for ms in members[a:b] for m in ms] for a, b in zip(cuts, cuts[1:])]
+    return pd.DataFrame({"container": pdf["container"].iloc[0], "capacity": capacity, "bin_id": least, "fill": fill, "members": held})
 
 
 def pack(items: DataFrame, containers: DataFrame, group: int = GROUP, full: float = FULL) -> DataFrame:
