@@ -38,8 +38,8 @@ class Language:
         self.name, self.keywords, self.lines = name, keywords, lines
         signs = sorted({*BINARY, *ASSIGN, *"... ..< .. :: ?. ?: !! => -> ++ -- += \\ =".split(), *ops.split()} - set(unlexed.split()), key=len, reverse=True)
         signs = [re.escape(s) for s in signs if not s[0].isalnum()]
-        skip = r"(?:[ \t\r\f﻿\xa0]+" + ("" if lines else r"|\n") + r"|\\\n|" + "|".join(c for c in comments) + ")*"
-        parts = [CONFLICT, *extra, *strings, NUMBER, *([GENERIC] if generic else []), idents, *signs, *([r"\n"] if lines else []), r"\S"]
+        skip = r"(?:[ \t\r\f﻿\xa0]+" + ("" if lines else r"|\n") + r"|\\\n|" + "|".join(c for c in comments) + ")*+"
+        parts = [CONFLICT, *extra, *strings, NUMBER, *([GENERIC] if generic else []), idents, *signs, *([r"\n"] if lines else []), r"\S", r"\Z"]
         self.rx = re.compile(skip + "(" + "|".join(parts) + ")")
         self.ident = re.compile(idents)
         self.string = re.compile("|".join(strings))
@@ -94,7 +94,7 @@ class Language:
     def lex(self, text: str) -> list[str]:
         """Kinds of the tokens of a text; line ends that end a statement are kind ``end``."""
         kind, known = self.kind, self.known
-        toks = self.rx.findall(text)
+        toks = [t for t in self.rx.findall(text) if t]
         raw = [known.get(t) or kind(t) for t in toks]
         if not self.soft.isdisjoint(toks):  # words that are keywords only where a name or a body follows
             for i, t in enumerate(toks):
@@ -135,7 +135,7 @@ class Language:
         return out
 
 
-def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, named="", ternary=True, casts=False, strings_join=False, colon_args=False, arrow=False, funs="", types=False, pre="", mods="", spread=True, operators="", assigns=True) -> int:
+def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, named="", ternary=True, casts=False, strings_join=False, colon_args=False, arrow=False, funs="", types=False, pre="", mods="", spread=True, operators="", assigns=True, slices=False) -> int:
     """Rules ``E`` (expression), ``group`` (arguments or parentheses) and their parts."""
     e, block = g.ref("E"), g.ref("block")
     label = g.opt(g.alt(g.seq("id", named), g.seq("s", named) if named == ":" else g.seq("id", named))) if named else g.seq()
@@ -162,6 +162,8 @@ def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, name
         prim.append(g.seq(g.opt("mod"), funs, g.opt("pm"), g.opt("id"), group, g.opt(g.alt(":", "->"), g.ref("type")), block))
     if arrow:
         prim.append(g.seq(g.opt(g.alt("mod", "id")), g.alt(g.ref("params"), "id"), g.opt(":", g.ref("type")), "=>", g.alt(e, block)))
+    if slices:  # []T{...}, [3]T{...}, map[K]V{...}
+        prim += [g.seq("[", g.opt(g.alt(e, "...")), "]", g.ref("type"), obj), g.seq("id", "[", g.ref("type"), "]", g.ref("type"), obj), g.seq("cls", "{", "}", g.opt(obj)), g.seq("op_word", g.ref("type"))]
     prefix = g.star(g.alt("pm", "pre", "++", "new", *pre.split()))
     if casts:
         prefix = g.star(g.alt("pm", "pre", "++", "new", group, *pre.split()))
@@ -193,7 +195,7 @@ def braces(style: str) -> Grammar:
     expressions(
         g, blocks=style in ("rust", "kotlin", "scala", "swift", "cpp", "java", "csharp", "dart", "go", "c"), objects=style in ("javascript", "typescript", "dart", "go", "c", "cpp", "csharp", "swift"),
         trailing=style in ("kotlin", "scala", "swift", "rust", "go", "cpp", "java", "csharp") and not heads or style == "cpp", named={"swift": ":", "csharp": ":", "kotlin": "=", "dart": ":", "php": ":"}.get(style, ""), ternary=style not in ("go", "rust", "kotlin", "scala"),
-        casts=style in ("java", "csharp", "c", "cpp", "php", "go"), strings_join=style in ("c", "cpp", "dart"), arrow=style in ("javascript", "typescript"), funs="fun" if style in ("javascript", "typescript", "php", "go", "kotlin") else "",
+        casts=style in ("java", "csharp", "c", "cpp", "php", "go"), strings_join=style in ("c", "cpp", "dart"), arrow=style in ("javascript", "typescript"), funs="fun" if style in ("javascript", "typescript", "php", "go", "kotlin") else "", assigns=style != "go", slices=style == "go",
         types=style in ("typescript", "swift", "kotlin", "dart", "csharp", "rust"), pre={"javascript": "op_pre", "typescript": "op_pre gen", "php": "@ mod", "go": "<-", "rust": "mod", "swift": "mod", "csharp": "mod"}.get(style, ""),
         operators={"javascript": "in", "typescript": "in as_", "kotlin": "in as_ -> ..<", "scala": "-> =>", "rust": "as_ => ... :", "java": "->", "csharp": "=>", "cpp": "-> ...", "c": "->", "php": "=> -> as_", "swift": "as_ ... ..< ??", "dart": "=> as_", "go": ""}.get(style, ""),
     )
@@ -602,7 +604,7 @@ def languages() -> dict[str, tuple[Language, "Grammar", int]]:
     for k in ("ruby", "elixir"):
         out[k] = (defs[k], (g := ended(k)), g.ref("start"))
     pl = Python("python", [HASH], [r'[rRbBuUfF]{0,2}"""(?:[^\\]|\\[\s\S])*?"""', r"[rRbBuUfF]{0,2}'''(?:[^\\]|\\[\s\S])*?'''", "[rRbBuUfF]{0,2}" + DQ, "[rRbBuUfF]{0,2}" + SQ], py, lines=True, generic=False, unlexed="<> === !== ?. ?? => =~ !~ .. ..< ..= && || ! ++ -- <<~ <=> |> <- ||| &&& :: .= ?: !! >>>")
-    pl.rx = re.compile(pl.rx.pattern.replace(r"|\n|\S)", r"|\n[ \t\f]*|\S)"))
+    pl.rx = re.compile(pl.rx.pattern.replace(r"|\n|\S|\Z)", r"|\n[ \t\f]*|\S|\Z)"))
     out["python"] = (pl, (g := python_grammar()), g.ref("start"))
     sh = Shell("shell", [], [], {})
     out["shell"] = (sh, (g := shell_grammar()), g.ref("start"))
@@ -614,7 +616,7 @@ class Python(Language):
 
     def lex(self, text: str) -> list[str]:
         out, stack, depth = [], [""], 0
-        toks = self.rx.findall("\n" + text.replace("\r\n", "\n").replace("\r", "\n"))
+        toks = [t for t in self.rx.findall("\n" + text.replace("\r\n", "\n").replace("\r", "\n")) if t]
         n = len(toks)
         for i, t in enumerate(toks):
             if t[0] == "\n":
@@ -661,7 +663,7 @@ class Shell(Language):
 
     def __init__(self, *a):
         super().__init__(*a)
-        self.rx = re.compile(r"(?:[ \t\r]+|\\\n|(?<![^\s;&|()])#[^\n]*)*(" + CONFLICT + r"|\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|\[\[(?=\s)[^\n]*?\s\]\]|\n+|;;|&&|\|\||\d*(?:>>|<<<|<<-?|>&|<&|>\||<|>)&?|&>|[;&|()]|[{}](?=[\s;]|$)|(?:" + self.PIECE + r")+|\S)")
+        self.rx = re.compile(r"(?:[ \t\r]+|\\\n|(?<![^\s;&|()])#[^\n]*)*+(" + CONFLICT + r"|\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|\[\[(?=\s)[^\n]*?\s\]\]|\n+|;;|&&|\|\||\d*(?:>>|<<<|<<-?|>&|<&|>\||<|>)&?|&>|[;&|()]|[{}](?=[\s;]|$)|(?:" + self.PIECE + r")+|\S|\Z)")
         self.keywords = {w: w for w in "if then elif else fi for in do done case esac function { } !".split()} | {"while": "while", "until": "while"}
         self.assign = re.compile(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=")
 
@@ -691,7 +693,7 @@ class Shell(Language):
         return "w"
 
     def lex(self, text: str) -> list[str]:
-        raw = [self.kind(t) for t in self.rx.findall(re.sub(r"<<-?\s*(['\"]?)(\w+)\1([^\n]*)\n[\s\S]*?\n[ \t]*\2(?=\n|$)", r"\3", text.replace("\r\n", "\n")))]
+        raw = [self.kind(t) for t in filter(None, self.rx.findall(re.sub(r"<<-?\s*(['\"]?)(\w+)\1([^\n]*)\n[\s\S]*?\n[ \t]*\2(?=\n|$)", r"\3", text.replace("\r\n", "\n"))))]
         out = []
         first = True
         plain = set(self.keywords.values())
