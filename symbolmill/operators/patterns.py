@@ -45,16 +45,21 @@ def search_patterns(files: DataFrame, pattern: str, limit: int | None = None) ->
         return files.sparkSession.createDataFrame([], shape)
     # a file that lacks the pattern is dropped before its matches are laid out
     hit = files.filter(F.col("content").rlike(f"(?iu){pattern}"))
-    rows = hit.select("file_id", "path", F.split("content", "\n").alias("_lines"), F.explode(lines_of_matches(F.col("content"), f"(?iu){pattern}")).alias("m"))
-    # a file's matches come from one row, so its lines travel as the first of the group only
-    grouped = rows.groupBy("file_id", "path", F.col("m.line").alias("line")).agg(F.array_join(F.collect_list("m.text"), ", ").alias("matched_text"), F.first("_lines").alias("_lines"))
+    found = hit.select("file_id", "path", F.split("content", "\n").alias("_lines"), lines_of_matches(F.col("content"), f"(?iu){pattern}").alias("_m"))
     n = F.size("_lines")
-    span = F.sequence(F.greatest(F.col("line") - 2, F.lit(1)), F.least(F.col("line") + 3, n))
-    text = F.array_join(F.transform(span, lambda i: F.concat(F.when(i == F.col("line"), "> ").otherwise("  "), i.cast("string"), F.lit(": "), F.element_at("_lines", i))), "\n")
-    line = F.element_at("_lines", F.col("line"))
+
+    def describe(at: Column) -> Column:
+        span = F.sequence(F.greatest(at - 2, F.lit(1)), F.least(at + 3, n))
+        text = F.array_join(F.transform(span, lambda i: F.concat(F.when(i == at, "> ").otherwise("  "), i.cast("string"), F.lit(": "), F.element_at("_lines", i))), "\n")
+        matched = F.array_join(F.transform(F.filter("_m", lambda m: m["line"] == at), lambda m: m["text"]), ", ")
+        return F.struct(at.alias("line"), matched.alias("matched_text"), text.alias("context"), F.element_at("_lines", at).alias("_line"))
+
+    # matches are grouped within the row that holds their file, so nothing is shuffled and no row carries a whole file
+    hits = found.select("file_id", "path", F.explode(F.transform(F.array_distinct(F.transform("_m", lambda m: m["line"])), describe)).alias("h")).select("file_id", "path", "h.*")
+    line = F.col("_line")
     bonus = F.when(F.contains(line, F.lit("function")) | F.contains(line, F.lit("class")) | F.contains(line, F.lit("def ")) | F.contains(line, F.lit("func ")), 50).otherwise(0)
     score = F.lit(100) + bonus
-    hits = grouped.withColumn("context", text).withColumn("_t", tokenize(F.col("context")))
+    hits = hits.withColumn("_t", tokenize(F.col("context")))
     for t in tokenize_text(pattern):
         score = score + F.when(F.array_contains("_t", t), 10).otherwise(0)
     out = hits.select("file_id", "path", "line", "matched_text", "context", score.cast("int").alias("score"))

@@ -109,10 +109,11 @@ def path_tree(files: DataFrame, depth: int = 3) -> DataFrame:
 def index_stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row per repo (nulls one of them): files, symbols, bytes, lines, and the hash of its paths.
 
-    The hash is md5 of ``count:N|`` and the sorted paths joined by ``|``; a repo's paths are one value of the result.
+    The hash is md5 of ``count:N|`` and the exclusive or of 60 bits of each path's md5: it depends on the set of paths only
+    and is merged map-side, so that no repo's paths come together in one place.
     """
     f = files.groupBy("repo").agg(
-        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("lines").alias("lines"), F.md5(F.concat(F.lit("count:"), F.count("*").cast("string"), F.lit("|"), F.array_join(F.array_sort(F.collect_list("path")), "|"))).alias("paths_hash"),
+        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("lines").alias("lines"), F.md5(F.concat(F.lit("count:"), F.count("*").cast("string"), F.lit("|"), F.bit_xor(F.conv(F.substring(F.md5("path"), 1, 15), 16, 10).cast("bigint")).cast("string"))).alias("paths_hash"),
     )
     s = symbols.groupBy(F.col("repo").alias("r")).agg(F.count("*").alias("symbols"))
     return f.join(s, f["repo"].eqNullSafe(s["r"]), "left").select("repo", "files", F.coalesce("symbols", F.lit(0)).alias("symbols"), "bytes", "lines", "paths_hash")

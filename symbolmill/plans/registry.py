@@ -411,7 +411,7 @@ def size_gate(spark, d):
 
 @query(
     "index_stats",
-    f"WITH {F_}, {S_}, a AS (SELECT repo, count(*) AS files, sum(size)::BIGINT AS bytes, sum(lines)::BIGINT AS lines, md5('count:' || count(*) || '|' || string_agg(path, '|' ORDER BY path)) AS paths_hash FROM f GROUP BY repo), b AS (SELECT repo, count(*) AS n FROM s GROUP BY repo) SELECT a.repo, files, coalesce(n, 0) AS symbols, bytes, lines, paths_hash FROM a LEFT JOIN b ON a.repo IS NOT DISTINCT FROM b.repo",
+    f"WITH {F_}, {S_}, a AS (SELECT repo, count(*) AS files, sum(size)::BIGINT AS bytes, sum(lines)::BIGINT AS lines, md5('count:' || count(*) || '|' || bit_xor(('0x' || substr(md5(path), 1, 15))::BIGINT)) AS paths_hash FROM f GROUP BY repo), b AS (SELECT repo, count(*) AS n FROM s GROUP BY repo) SELECT a.repo, files, coalesce(n, 0) AS symbols, bytes, lines, paths_hash FROM a LEFT JOIN b ON a.repo IS NOT DISTINCT FROM b.repo",
 )
 def index_stats(spark, d):
     """Counts and path hash of each repo's index."""
