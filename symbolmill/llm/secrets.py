@@ -26,7 +26,7 @@ TRAIN_LINES = 3000
 LONGEST = 30
 #: Words near which a secret may stand, lower case; in the languages of the corpus.
 CUES = (
-    "pass|pwd|pw|secret|token|key|cred|bearer|basic |auth|login|sig=|senha|clave|contras|kennwort|wachtwoord|parola|пароль|密码|口令|private|://|.example|connect|"
+    "pass|pwd|pw|use |secret|token|key|cred|bearer|basic |auth|login|sig=|senha|clave|contras|kennwort|wachtwoord|parola|пароль|密码|口令|private|://|.example|connect|"
     "sk_|rk_|pk_|akia|asia|ghp_|gho_|ghs_|ghu_|ghr_|github_pat|glpat|xox|npm_|pypi-|aiza|sg.|eyj|hf_|dop_v1|shpat|ya29"
 ).split("|")
 PREFIX = re.compile(
@@ -170,6 +170,8 @@ def attributes(tokens: list[str]) -> list[tuple[str, str, str, str]]:
             link = "query"
         elif call and quote and literals >= 3:
             link = "hostcall"
+        elif comment and re.search(r"\s\w+:$", tail):
+            link = "pair"
         elif comment:
             link = "comment" if len(between.strip("\"'`")) <= 2 else "comment-far"
         elif re.fullmatch(r"(?:=|:|:=|=>|->|:&=|:\w*=|\*=|=\[|\[\]=|:\?=)?[\[\(]{0,2}", between) and between[:1] in ("=", ":", "-") and name:
@@ -232,6 +234,7 @@ def seed(tokens: list[str], attrs: list[tuple[str, str, str, str]]) -> list[int]
                 or link == "query" and c in "SW" and wild
                 or link == "hostcall" and wild and extent == "all"
                 or link == "comment" and c in "SW" and wild
+                or link == "pair" and wild and len(t) >= 8
                 or link == "assign" and c == "S" and (wild or s == "name" and t[0].isupper()) and extent in ("all", "end")
             )
         out.append(BEGIN if hit else OUT)
@@ -308,6 +311,7 @@ def spans(model: dict, text: str, automaton: ahocorasick.Automaton) -> list[tupl
                     found.append((line, at + pem.start(), b))
             elif tokens[k] and (secretish(tokens[k]) or attrs[k][2] == "user") and not PLACEHOLDER.search(tokens[k]):
                 found.append((line, a, b))
+                until = max(until, b)
             k = j
     return found
 
@@ -328,7 +332,7 @@ def composed(n: int = 900) -> list[str]:
     forms = ['{n} = "{v}"', "{n} = '{v}'", "const {n} = \"{v}\";", '{n}: "{v}"', '"{n}": "{v}",', "{n}={v}", "{n} := `{v}`", 'private static final String {n} = "{v}";', 'let {n}: &str = "{v}";', "${n} = '{v}';", "'{n}' => '{v}',", 'const char *{n} = "{v}";', '  {n} = {v}']
     more = [
         lambda v: f"// {r.choice(['password', 'pass:', 'passwort', 'tmp key=', 'login: x / pass:'])} {v}", lambda v: f'url = "mysql://{word()}:{v}@db.{word()}.example:{r.randrange(1000, 9999)}/{word()}"', lambda v: f'connect{word().title()}("db.{word()}.example", "{word()}", "{v}");',
-        lambda v: f'h = "Authorization: Bearer {v}"', lambda v: f'u = "https://x.{word()}.example/{word()}?token={v}"', lambda v: f'h1 = "X-Api-Key: {v}"', lambda v: f"# tmp key={v}", lambda v: f"url = https://svc:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}", lambda v: f"{word()}_url=amqp://{word()}:{v}@x.{word()}.example/{word()}",
+        lambda v: f'h = "Authorization: Bearer {v}"', lambda v: f'u = "https://x.{word()}.example/{word()}?token={v}"', lambda v: f'h1 = "X-Api-Key: {v}"', lambda v: f"# tmp key={v}", lambda v: f"{r.choice(['#', '//', '--'])} use {word()}:{v} until friday", lambda v: f"url = https://svc:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}", lambda v: f"{word()}_url=amqp://{word()}:{v}@x.{word()}.example/{word()}",
         lambda v: f'column-url: "redis://{word()}:{v}@x.{word()}.example:{r.randrange(1000, 9999)}/{word()}"', lambda v: f'{r.choice(["auth", "HEADER", "val header"])} = "Token {v}"', lambda v: f'callback = "https://x.{word()}.example/{word()}?sig={v}"', lambda v: f'@passphrase "{v}"', lambda v: f'login_{word()}("db.{word()}.example", \'prefix\', \'{v}\')',
     ]
     lines = ['key = "-----BEGIN RSA PRIVATE KEY-----\\n', "pem: -----BEGIN PRIVATE KEY-----", 'publicKey = "-----BEGIN CERTIFICATE-----', "pub = `-----BEGIN PUBLIC KEY-----"]
