@@ -11,17 +11,17 @@ from symbolmill.functions.languages import ENDINGS, ending, language_of
 from symbolmill.functions.text import EXPANSIONS, STOPWORDS, estimate_tokens, expansion_column, format_bytes, glob_pattern, tokenize
 from symbolmill.operators import edits, extract, graph, incremental, patterns, rank, structure, usage
 from symbolmill.operators.rules import RULES
-from symbolmill.sources.tables import latest, table
+from symbolmill.sources.tables import latest, latest_rows, table
 
 QUERY, NAME, TYPO, WORD, PATTERN, GLOB = "load token cache", "bindTempo", "bindTemp", "token", "no [a-z]+ left for", "src/**/*.py"
 
 
 def files(spark, d):
-    return latest(table(spark, d, "files"), "file_id")
+    return latest_rows(spark, d, "files", "file_id")
 
 
 def symbols(spark, d):
-    return latest(table(spark, d, "symbols"), "symbol_id")
+    return latest_rows(spark, d, "symbols", "symbol_id")
 
 
 def paths(spark, d):

@@ -24,6 +24,20 @@ def latest(df: DataFrame, key: str, by: str = "indexed_at") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def latest_rows(spark: SparkSession, sf_dir: str, name: str, key: str, by: str = "indexed_at") -> DataFrame:
+    """The table ``name`` with one row per ``key``, its last delivery, without shuffling its wide columns.
+
+    Keys that were delivered several times are found from narrow columns, with the place of their last row in its file; every
+    other row of those keys is filtered out where it is read. Ties of ``by`` fall by that place. Rows with a null key all stay.
+    """
+    raw = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")]
+    rows = raw.select(key, by, *place)
+    again = rows.groupBy(key).agg(F.count("*").alias("_n"), F.max(F.struct(by, "_path", "_row")).alias("_last")).filter("_n > 1").select(key, "_last")
+    kept = raw.select("*", *place).join(checked_broadcast(again), key, "left").filter("_last is null or (_last._path = _path and _last._row = _row)")
+    return kept.select(*raw.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new directory name below ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
