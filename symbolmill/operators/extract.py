@@ -78,7 +78,7 @@ class Ends:
         return {"brace": self.brace, "statement": self.statement, "indent": self.indent}.get(block, lambda s: s)(start)
 
 
-COMPILED = {lang: [(r, re.compile(r.pattern, r.flags)) for r in rules] for lang, rules in RULES.items()}
+COMPILED = {lang: [(r, re.compile(r.pattern, r.flags | re.A)) for r in rules] for lang, rules in RULES.items()}
 
 
 def extract(text: str, language: str) -> tuple[list[tuple], list[str], list[str]]:

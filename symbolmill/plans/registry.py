@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from symbolmill.functions.languages import ENDINGS, ending, language_of
-from symbolmill.functions.text import EXPANSIONS, STOPWORDS, estimate_tokens, expansion_column, format_bytes, glob_pattern, tokenize
+from symbolmill.functions.text import EXPANSIONS, STOPWORDS, estimate_tokens, expansion_column, format_bytes, glob_pattern, tokenize, tokenize_text
 from symbolmill.operators import edits, extract, graph, incremental, patterns, rank, structure, usage
-from symbolmill.operators.rules import RULES
+from symbolmill.operators.rules import KEYWORD_TYPES, RULES
 from symbolmill.sources.tables import latest, latest_rows, table
 
 QUERY, NAME, TYPO, WORD, PATTERN, GLOB = "load token cache", "bindTempo", "bindTemp", "token", "no [a-z]+ left for", "src/**/*.py"
@@ -221,7 +221,16 @@ def pattern_search(spark, d):
     return hits.select("file_id", "line", "matched_text", (F.lit(100) + bonus).cast("int").alias("score"))
 
 
-@query("pattern_context")
+def _context_sql() -> str:
+    words = " + ".join(f"CASE WHEN list_contains({tok('context')}, '{t}') THEN 10 ELSE 0 END" for t in tokenize_text(PATTERN)) or "0"
+    bonus = "CASE WHEN contains(text, 'function') OR contains(text, 'class') OR contains(text, 'def ') OR contains(text, 'func ') THEN 50 ELSE 0 END"
+    line = "CASE WHEN i = line THEN '> ' ELSE '  ' END || i || ': ' || l[i]"
+    return f"""WITH {F_}, a AS (SELECT file_id, path, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL AND regexp_matches(content, '(?i){PATTERN}')), b AS (SELECT file_id, path, l, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM a),
+    h AS (SELECT * FROM b WHERE regexp_matches(text, '(?i){PATTERN}') ORDER BY path, line LIMIT 10), c AS (SELECT file_id, line, text, array_to_string(list_transform(range(greatest(line - 2, 1), least(line + 3, len(l)) + 1), lambda i: {line}), chr(10)) AS context FROM h)
+    SELECT file_id, line::INT AS line, context, (100 + {bonus} + {words})::INT AS score FROM c"""
+
+
+@query("pattern_context", _context_sql())
 def pattern_context(spark, d):
     """The first ten hits of a pattern with their contexts, ranked."""
     return patterns.search_patterns(files(spark, d), PATTERN, 10).select("file_id", "line", "context", "score")
@@ -318,7 +327,10 @@ def reference_edges(spark, d):
     return graph.reference_edges(symbols(spark, d), words_only=True)
 
 
-@query("reference_edges_substring")
+@query(
+    "reference_edges_substring",
+    f"WITH {S_}, {_NAMES}, d AS (SELECT DISTINCT {_KEY} AS src, file_path, code FROM s WHERE code IS NOT NULL) SELECT DISTINCT src, n.name AS dst_name FROM d JOIN n ON contains(d.code, n.name) WHERE files > 1 OR only_ <> file_path",
+)
 def reference_edges_substring(spark, d):
     """Names of other files that each symbol's code contains anywhere."""
     return graph.reference_edges(symbols(spark, d))
@@ -505,7 +517,54 @@ def parse_symbols(spark, d):
     return extract.symbols_of(files(spark, d))
 
 
-@query("parse_imports")
+def _regex_sql(rule, group: int) -> str:
+    flags = "(?m)" if rule.flags else ""
+    quoted = (flags + rule.pattern).replace("'", "''")
+    return f"regexp_extract_all(content, '{quoted}', {group})"
+
+
+def _texts_sql(lang: str, emits: str) -> str:
+    """A list of what the rules of a language emit as imports or exports, in their order."""
+    parts = []
+    for r in RULES[lang]:
+        if r.emits == emits:
+            x = _regex_sql(r, 1)
+            if "|\\(([^)]+)" in r.pattern:  # a second form of the same rule, in its own group
+                x = f"list_transform(list_zip({x}, {_regex_sql(r, 2)}), lambda p: CASE WHEN p[1] <> '' THEN p[1] ELSE p[2] END)"
+            if r.clean == "strip":
+                x = f"list_transform({x}, lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+            if emits == "export":
+                x = f"list_transform({x}, lambda t: CASE WHEN t = '' THEN 'module' ELSE t END)"
+            parts.append(x)
+    return f"flatten([{', '.join(parts)}])" if parts else "[]::VARCHAR[]"
+
+
+def _symbols_sql(lang: str) -> str:
+    """A list of {n, t}: name and type of each symbol in rule order."""
+    parts = []
+    for r in RULES[lang]:
+        if r.emits in ("import", "export"):
+            continue
+        if r.emits == "by-keyword":
+            kind = "CASE " + " ".join(f"WHEN p[1] = '{k}' THEN '{v}'" for k, v in KEYWORD_TYPES.items()) + " END"
+            x = f"list_transform(list_zip({_regex_sql(r, 1)}, {_regex_sql(r, 2)}), lambda p: {{'n': p[2], 't': {kind}}})"
+        else:
+            last = "regexp_extract(p, '[^.:]*$')" if lang == "lua" and r.emits == "function" else "p"
+            x = f"list_transform({_regex_sql(r, 1)}, lambda p: {{'n': {last}, 't': '{r.emits}'}})"
+        if r.skip:
+            x = f"list_filter({x}, lambda q: q.n NOT IN ({', '.join(repr(w) for w in sorted(r.skip))}))"
+        parts.append(x)
+    return f"flatten([{', '.join(parts)}])"
+
+
+_FL = F_ + f", fl AS (SELECT file_id, content, coalesce(language, {lang_sql(ending_sql('path'))}) AS language FROM f WHERE content IS NOT NULL)"
+
+
+@query(
+    "parse_imports",
+    f"WITH {_FL} SELECT file_id, language, array_to_string(CASE language " + " ".join(f"WHEN '{k}' THEN {_texts_sql(k, 'import')}" for k in RULES) + " END, chr(10)) AS imports, array_to_string(CASE language "
+    + " ".join(f"WHEN '{k}' THEN {_texts_sql(k, 'export')}" for k in RULES) + f" END, chr(10)) AS exports FROM fl WHERE language IN ({', '.join(repr(k) for k in RULES)})",
+)
 def parse_imports(spark, d):
     """Imports and exports that the rules find in file contents."""
     return extract.parse_files(files(spark, d)).select("file_id", "language", F.array_join("imports", "\n").alias("imports"), F.array_join("exports", "\n").alias("exports"))
@@ -514,14 +573,14 @@ def parse_imports(spark, d):
 def _parse(lang: str):
     def run(spark, d):
         found = extract.symbols_of(files(spark, d).filter(F.coalesce("language", language_of(F.col("path"))) == lang))
-        return found.select("file_id", "ordinal", "name", "type", "line", "end_line", F.length("code").alias("chars"), "signature")
+        return found.select("file_id", "ordinal", "name", "type")
 
-    run.__doc__ = f"Definitions in files of {lang}."
+    run.__doc__ = f"Definitions in files of {lang}, in order. Lines and blocks are in parse_symbols."
     return run
 
 
 for _lang in RULES:
-    query(f"parse_{_lang}")(_parse(_lang))
+    query(f"parse_{_lang}", f"WITH {_FL}, l AS (SELECT file_id, {_symbols_sql(_lang)} AS l FROM fl WHERE language = '{_lang}'), u AS (SELECT file_id, unnest(l) AS q, generate_subscripts(l, 1) AS i FROM l) SELECT file_id, (i - 1)::INT AS ordinal, q.n AS name, q.t AS type FROM u")(_parse(_lang))
 
 
 @query("block_lengths")
