@@ -30,13 +30,13 @@ class Index:
     def _version(self) -> str:
         return (Path(self.store) / "current").read_text().strip()
 
-    def _save(self, files: DataFrame) -> dict:
-        """Write a new version of all tables, then name it current: readers never see half an index."""
+    def _save(self, files: DataFrame, parsed: DataFrame | None = None) -> dict:
+        """Write a new version of all tables, then name it current: readers never see half an index. ``parsed`` spares files that are parsed already."""
         version = f"v{int(datetime.now(timezone.utc).timestamp() * 1e6)}"
         base = f"{self.store}/{version}"
         files.write.parquet(f"{base}/sources")
         files = self.spark.read.parquet(f"{base}/sources")
-        extract.parse_files(files).write.parquet(f"{base}/parsed")
+        (extract.parse_files(files) if parsed is None else parsed).write.parquet(f"{base}/parsed")
         parsed = self.spark.read.parquet(f"{base}/parsed")
         files.join(parsed.select("file_id", "imports", "exports"), "file_id", "left").write.parquet(f"{base}/files")
         symbols = parsed.select("file_id", F.posexplode("symbols").alias("ordinal", "s")).select("file_id", "ordinal", "s.*").join(files.select("file_id", F.col("path").alias("file_path")), "file_id")
@@ -157,7 +157,10 @@ class Index:
         changes = vcs.uncommitted(self.spark, self.root) if uncommitted else vcs.changed_recently(self.spark, self.root, days) if days else vcs.changed_since(self.spark, self.root, since or vcs.main_branch(self.root))
         once = changes.groupBy("path").agg(F.max_by("status", F.when(F.col("status") == "deleted", 0).otherwise(1)).alias("status"))
         wanted = [r["path"] for r in once.filter("status <> 'deleted'").select("path").collect()]  # a commit's file list, read by the driver to plan the scan
-        return self._save(incremental.merge(self.table("sources"), once, scan(self.spark, self.root, wanted)))
+        new = scan(self.spark, self.root, wanted)
+        gone = once.select(F.xxhash64("path").alias("file_id"))
+        parsed = self.table("parsed").join(gone, "file_id", "left_anti").unionByName(extract.parse_files(new))
+        return self._save(incremental.merge(self.table("sources"), once, new), parsed)
 
     def build_dependency_graph(self, words_only: bool = True) -> int:
         symbols = self.table("symbols")
