@@ -238,7 +238,7 @@ def braces(style: str) -> Grammar:
     if style == "scala":
         forms.append(g.seq(lead, "fun", g.alt("id", "op", "new"), g.opt(index_of(g)), g.star(params), result, g.alt(end, g.seq("=", e, end), block)))
     # classes and the like
-    bases = g.star(g.alt("id", "gen", "ext", "op_word", ".", "::", ",", ":", "mod", "pm", params, group, g.seq("[", g.opt(ty), "]"), "lit", "?"))
+    bases = g.star(g.alt("id", "gen", "ext", "op_word", ".", "::", ",", ":", "mod", "pm", params, group, g.seq("[", g.opt(ty), "]"), "lit", "?", "acc"))
     if style in ("go",):
         forms.append(g.seq("type_", "id", g.opt("gen"), g.opt("="), g.alt(g.seq("cls", "{", g.star(g.alt("id", ".", "gen", "s", "pm", "end", ";", ",", "cls", "[", "]", "n", params, "(", ")", "{", "}")), "}"), ty), end))
         forms.append(g.seq(g.alt("var", "const_"), "(", g.star(g.alt("end", ";", g.seq("id", g.opt(ty), g.opt("=", e)))), ")", end))
@@ -341,7 +341,7 @@ def braces(style: str) -> Grammar:
     elif style in ("c", "cpp"):
         forms += [g.tok("include"), g.tok("directive")]
         if style == "cpp":
-            forms += [g.seq("imp", g.opt("pkg"), path, g.opt("=", ty), end), g.seq("pkg", g.opt(path), g.alt(block, g.seq("=", path, end))), g.seq("mod", ":"), g.seq("template_", g.opt("gen"), stmt)]
+            forms += [g.seq("imp", g.opt("pkg"), path, g.opt("=", ty), end), g.seq("pkg", g.opt(path), g.alt(block, g.seq("=", path, end))), g.seq("acc", ":"), g.seq("template_", g.opt("gen"), stmt)]
     if style == "go":
         forms += [g.seq("pkg", "id", end), g.seq(g.alt("defer_"), e, end), g.seq(e, g.star(",", e), g.alt("=", "asg"), g.opt("range_"), e, g.star(",", e), end)]
     # declarations without a keyword
@@ -490,6 +490,9 @@ def ended(style: str) -> Grammar:
     blk = g.seq("do_", g.star("end"), bars, body, "stop")
     cur = g.seq("{", g.star("end"), bars, g.alt(body, g.seq(items, g.star("end"))), "}")
     fn = g.seq("fn_", g.opt(e, g.star(",", e)), "->", body, g.star(g.plus("end"), e, g.star(",", e), "->", body), "stop") if style == "elixir" else g.seq("fn_", g.opt(g.ref("group")), g.alt(cur, blk))
+    # the keys of a hash literal are no assignments
+    pair = g.alt(g.seq(g.ref("K"), "=>", e), g.seq(g.alt("id", "s", "kw", "if", "cls", "const", "do_", "else_", "stop", "def", "lit"), ":", g.opt(e)), g.seq(g.alt("op", "pm"), e))
+    hash_ = g.seq("{", g.star("end"), g.opt(pair, g.star(",", g.star("end"), g.opt(pair))), g.star("end"), "}")
     if style == "elixir":
         prim = [g.tok("id", "n", "lit", "atom", "const"), g.plus("s"), g.ref("group"), lst, g.seq(g.alt("%", g.seq("%", "const")), cur), cur, fn, g.seq("op", items, "op"), g.seq("@", "id")]
         ctl = g.seq(g.alt("if", "case"), e, g.star(",", item), "do_", g.ref("arms"), g.star("else_", g.ref("arms")), "stop")
@@ -497,9 +500,10 @@ def ended(style: str) -> Grammar:
         prim.append(ctl)
     else:
         inner = g.seq(body, g.star(g.alt(g.seq("elsif", e, g.opt("then"), body), g.seq("else_", body), g.seq("when_", e, g.star(",", e), g.opt("then"), body), g.seq("rescue", g.opt(e, g.star(",", e)), g.opt("=>", "id"), body), g.seq("ensure", body))), "stop")
-        prim = [g.tok("id", "n", "lit", "atom", "const"), g.plus("s"), g.ref("group"), lst, cur, fn, g.seq("if", e, g.opt("then"), inner), g.seq("case", g.opt(e), inner), g.seq("while", e, g.opt("do_"), inner), g.seq("for", "id", "in", e, g.opt("do_"), inner), g.seq("begin", inner)]
+        prim = [g.tok("id", "n", "lit", "atom", "const"), g.plus("s"), g.ref("group"), lst, hash_, fn, g.seq("if", e, g.opt("then"), inner), g.seq("case", g.opt(e), inner), g.seq("while", e, g.opt("do_"), inner), g.seq("for", "id", "in", e, g.opt("do_"), inner), g.seq("begin", inner)]
     post = g.star(g.alt(g.seq(g.alt(".", "?.", "::"), g.star("end"), g.alt("id", "const", "kw", "cls", "if", g.ref("group"), g.seq("{", items, "}"))), g.ref("group"), lst, *([cur] if style == "ruby" else []), blk))
     unary = g.seq(g.star(g.alt("pm", "pre", "not", "amp", *(["pin"] if style == "elixir" else []))), g.alt(*prim), post)
+    g.rule("K", g.seq(unary, g.star(g.alt("op", "pm", "..", "|"), unary)))
     g.rule("E", g.seq(unary, g.star(g.alt("op", "pm", "=", "asg", "bool", "..", "...", "=>", "<-", "->", "|", "in"), unary), g.opt("?", e, ":", e)))
     command = g.seq("id", g.opt("." , "id"), item, g.star(",", item), g.opt(blk))
     mod = g.star(g.alt("if", "while"), e) if style == "ruby" else g.seq()
@@ -557,7 +561,7 @@ def languages() -> dict[str, tuple[Language, "Grammar", int]]:
     java = common | words("record", "rec_") | words("class interface enum", "cls") | words(MODS + " sealed", "mod") | words("default", "default_") | words("extends implements throws permits", "ext") | words("import", "imp") | words("package", "pkg") | words("var", "var") | words("instanceof", "op") | words("synchronized", "lock_") | words("assert yield", "ret")
     csharp = common | words("class interface enum struct", "cls") | words("public private protected internal static readonly const abstract sealed virtual override async partial extern unsafe volatile params ref out required init file", "mod") | words("default", "default_") | words("using", "imp") | words("namespace", "pkg") | words("var", "var") | words("foreach", "foreach") | words("in", "in") | words("is as", "op") | words("where", "where") | words("get set add remove", "get_") | words("lock", "lock_") | words("await", "pre") | words("yield goto", "ret")
     c = {k: v for k, v in common.items() if k not in ("try", "catch", "finally", "new", "throw", "this", "super", "true", "false", "null")} | words("struct enum union", "cls") | words("static const extern inline volatile register unsigned signed restrict auto typedef", "mod") | words("default", "default_") | words("goto", "ret") | words("sizeof", "pre") | words("NULL", "lit")
-    cpp = common | words("class struct enum union", "cls") | words("static const extern inline volatile register unsigned signed typedef virtual explicit friend constexpr mutable noexcept override final public private protected thread_local consteval", "mod") | words("auto", "var") | words("default", "default_") | words("goto co_return co_yield", "ret") | words("using", "imp") | words("namespace", "pkg") | words("template", "template_") | words("sizeof delete co_await typename", "pre") | words("nullptr", "lit")
+    cpp = common | words("class struct enum union", "cls") | words("static const extern inline volatile register unsigned signed typedef virtual explicit friend constexpr mutable noexcept override final thread_local consteval", "mod") | words("public private protected", "acc") | words("auto", "var") | words("default", "default_") | words("goto co_return co_yield", "ret") | words("using", "imp") | words("namespace", "pkg") | words("template", "template_") | words("sizeof delete co_await typename", "pre") | words("nullptr", "lit")
     go = words("if", "if") | words("else", "else_") | words("for", "for") | words("switch select", "switch") | words("case", "case_") | words("default", "default_") | words("func", "fun") | words("struct interface", "cls") | words("type", "type_") | words("var", "var") | words("const", "const_") | words("package", "pkg") | words("import", "imp") | words("return break continue goto fallthrough", "ret") | words("range", "range_") | words("defer go", "defer_") | words("true false nil", "lit") | words("chan", "op_word")
     rust = words("if", "if") | words("else", "else_") | words("for", "for") | words("while", "while") | words("loop", "loop") | words("match", "switch") | words("fn", "fun") | words("struct enum trait impl mod union", "cls") | words("let", "var") | words("const static", "const_") | words("use", "imp") | words("return break continue", "ret") | words("pub mut ref async unsafe move extern dyn crate_", "mod") | words("in", "in") | words("as", "as_") | words("type", "type_") | words("where", "where") | words("true false self Self super crate", "lit")
     rust |= words("self Self super crate", "id")
