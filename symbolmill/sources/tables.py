@@ -39,9 +39,11 @@ def latest_rows(spark: SparkSession, sf_dir: str, name: str, key: str, by: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new directory name below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new directory name below ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary folder and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-symbolmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/symbolmill-{uuid.uuid4().hex}"
