@@ -136,6 +136,7 @@ def attributes(tokens: list[str]) -> list[tuple[str, str, str, str]]:
     """(shape, cue, link, extent) of each token: how the line ties it to a name, and whether it is all of its literal."""
     line = "".join(tokens)
     comment, call = bool(COMMENT.match(line)), bool(CALL.search(line) and re.search(r"[\"'`](?:[\w-]+\.)+\w+[\"'`]", line))
+    braced = re.search(r"[(){}]", line) is not None and not comment  # code, where a value without quotes is an expression
     out: list[tuple[str, str, str, str]] = []
     quote, quoted_from, parts, literals = "", 0, 0, 0
     name, between, last = "", "", "0"
@@ -187,7 +188,7 @@ def attributes(tokens: list[str]) -> list[tuple[str, str, str, str]]:
             extent = "many" if parts else "all" if quoted_from == k - 1 and end == k + 1 else "part"
         else:
             rest = "".join(tokens[k + 1 :]).strip()
-            extent = "end" if not rest or rest in (",", ";") or rest.startswith(("#", "//", "*/", "-->")) else "bare"
+            extent = "bare" if braced else "end" if not rest or rest in (",", ";") or rest.startswith(("#", "//", "*/", "-->")) else "bare"
         out.append((shapes[k], last, link, extent))
         # a name binds the value after it until another name takes over
         if shapes[k] in ("plain", "name", "other", "host", "words") or not secretish(t):
@@ -309,6 +310,8 @@ def spans(model: dict, text: str, automaton: ahocorasick.Automaton) -> list[tupl
                     b = stop.end() if stop else b
                     until = b
                     found.append((line, at + pem.start(), b))
+            elif attrs[k][2:] == ("assign", "bare") and attrs[k][0] != "prefix":
+                pass  # an operand of an expression
             elif tokens[k] and (secretish(tokens[k]) or attrs[k][2] == "user") and not PLACEHOLDER.search(tokens[k]):
                 found.append((line, a, b))
                 until = max(until, b)
@@ -348,6 +351,8 @@ def composed(n: int = 900) -> list[str]:
             lines.append(r.choice(forms).format(n=r.choice(other), v=r.choice([*good[:1], *good[4:5], *bad])()))
         elif x < 0.95:
             lines.append(r.choice(more)(r.choice(good)()))
+        elif x < 0.97:
+            lines.append(f'if ({word()} > {r.randrange(99)}) {{ d.{r.choice(["token", "key", "secret"])}={word()[0]}-{r.randrange(9999)}; }}')
         else:
             lines.append(f'{word()}_{r.choice(["token", "key"])}("{word()}_{word()}{r.randrange(999)}", {r.randrange(9999)})')
     return lines
