@@ -1,5 +1,6 @@
 """Reading the engine's tables and cutting lineage in storage that every executor shares."""
 
+import re
 import tempfile
 import uuid
 
@@ -42,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new directory name below ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary folder and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-symbolmill-")
         spark.conf.set("spark.checkpoint.dir", base)
