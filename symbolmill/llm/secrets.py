@@ -200,9 +200,48 @@ def attributes(tokens: list[str]) -> list[tuple[str, str, str, str]]:
             else:
                 last = said if not (re.fullmatch(r"string|str|String|char|static|std|const|let|var|val|final|u8|Option", t) and last in "SW" and between) else last
             name, between = t, ""
+    several(tokens, out)
     return out
 
 
+def several(tokens: list[str], attrs: list[tuple[str, str, str, str]]) -> None:
+    """Give the tokens of a value that marks divide the link of its first, and extents head and inner: a quoted value of a secret's name, and a password in an address."""
+    k = 0
+    while k < len(tokens):
+        if tokens[k] == ":" and re.search(r"//[\w.-]*:$", "".join(tokens[max(k - 5, 0) : k + 1])):
+            end = k + 1
+            while end < len(tokens) and not tokens[end].isspace() and tokens[end] not in "\"'`" and "/" not in tokens[end]:
+                end += 1
+            ats = [j for j in range(k + 2, end) if tokens[j] == "@"]
+            if ats and ats[-1] > k + 2 and ats[-1] + 1 < len(tokens) and re.match(r"\w", tokens[ats[-1] + 1]):
+                _spread(tokens, attrs, k + 1, ats[-1], "S", "user")
+                k = ats[-1]
+        elif len(tokens[k]) == 1 and tokens[k] in "\"'`":
+            end = next((j for j in range(k + 1, len(tokens)) if tokens[j] == tokens[k]), None)
+            if end is None:
+                break
+            inside = attrs[k + 1 : end]
+            first = next((a for a in inside if a[2] != "-"), None)
+            if end > k + 2 and first and first[1:3] == ("S", "assign") and not any(t.isspace() for t in tokens[k + 1 : end]) and not any(a[0] in ("prefix", "pem") or a[2] in ("user", "basic", "bearer", "header", "query") for a in inside):
+                if divided("".join(tokens[k + 1 : end])):
+                    _spread(tokens, attrs, k + 1, end, "S", "assign")
+            if "".join(tokens[k + 1 : end]).find("://") < 0:  # an address is looked at for its password
+                k = end
+        k += 1
+
+
+def _spread(tokens, attrs, a: int, b: int, said: str, link: str) -> None:
+    for j in range(a, b):
+        attrs[j] = (attrs[j][0], said, link, "head" if j == a else "inner")
+
+
+def divided(value: str) -> bool:
+    """Whether a quoted value with marks in it could be a secret: no address, call, list or setting, whose parts are words and numbers."""
+    return secretish(value) and not PLACEHOLDER.search(value) and "://" not in value and not re.fullmatch(
+        r"[\w.+-]+@(?:[\w-]+\.)+[a-z]{2,}|[\w.:]+\(.*\)|[\[({<].*[\])}>]|\$?(?:[A-Za-z_]+\d{0,4}|\d+)(?:[:=,./;&|-]+(?:[A-Za-z_]+\d{0,4}|\d+))*[:=,./;&|-]*|[?&/.].*|.*[=:]", value
+    )
+
+
 def chain(tokens: list[str]) -> list[int]:
     """The tokens that the field labels: all but blanks."""
     return [k for k, t in enumerate(tokens) if not t.isspace()]
@@ -226,8 +265,8 @@ def seed(tokens: list[str], attrs: list[tuple[str, str, str, str]]) -> list[int]
     """Labels by rule, for fitting."""
     out = []
     for t, (s, c, link, extent) in zip(tokens, attrs):
-        hit = s == "prefix" or s == "pem"
-        if s in SECRET_SHAPES and link != "-" and not hit:
+        hit = (s == "prefix" or s == "pem") and extent != "inner"
+        if extent not in ("head", "inner") and s in SECRET_SHAPES and link != "-" and not hit:
             wild = s in ("hex", "mixed", "long", "words")
             hit = (
                 link == "user"
@@ -238,7 +277,7 @@ def seed(tokens: list[str], attrs: list[tuple[str, str, str, str]]) -> list[int]
                 or link == "pair" and wild and len(t) >= 8
                 or link == "assign" and c == "S" and (wild or s == "name" and t[0].isupper()) and extent in ("all", "end")
             )
-        out.append(BEGIN if hit else OUT)
+        out.append(BEGIN if hit or extent == "head" else IN if extent == "inner" else OUT)
     return out
 
 
@@ -250,7 +289,7 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-POSSIBLE = re.compile(r"(?=[^\s\"'`,;()\[\]{}<>]{6})[^\s\"'`,;()\[\]{}<>]*(?:\d|[!#$%^*~+]|[a-z][A-Z])|BEGIN")
+POSSIBLE = re.compile(r"(?=[^\s\"'`,;()\[\]{}<>]{6})[^\s\"'`,;()\[\]{}<>]*(?:\d|[!#$%^*~+]|[a-z][A-Z])|BEGIN|[\"'`](?=[^\s\"'`]{6})[^\s\"'`]*\d")
 
 
 def windows(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, str]]:
@@ -290,7 +329,7 @@ def spans(model: dict, text: str, automaton: ahocorasick.Automaton) -> list[tupl
         pem = PEM.search(window)
         tokens, starts, ends = lex(window)
         attrs = attributes(tokens)
-        if not any(s in SECRET_SHAPES and link != "-" and (secretish(t) or link == "user") or s in ("pem", "prefix") for t, (s, _, link, _) in zip(tokens, attrs)):
+        if not any(s in SECRET_SHAPES and link != "-" and (secretish(t) or link == "user") or s in ("pem", "prefix") or extent == "head" for t, (s, _, link, extent) in zip(tokens, attrs)):
             continue
         labels = [OUT] * len(tokens)
         for k, y in zip(chain(tokens), viterbi(model, features(tokens, attrs))):
@@ -312,7 +351,7 @@ def spans(model: dict, text: str, automaton: ahocorasick.Automaton) -> list[tupl
                     found.append((line, at + pem.start(), b))
             elif attrs[k][2:] == ("assign", "bare") and attrs[k][0] != "prefix":
                 pass  # an operand of an expression
-            elif tokens[k] and (secretish(tokens[k]) or attrs[k][2] == "user") and not PLACEHOLDER.search(tokens[k]):
+            elif (secretish(value := "".join(tokens[k:j])) or attrs[k][2] == "user") and not PLACEHOLDER.search(value):
                 found.append((line, a, b))
                 until = max(until, b)
             k = j
@@ -355,6 +394,14 @@ def composed(n: int = 900) -> list[str]:
             lines.append(f'if ({word()} > {r.randrange(99)}) {{ d.{r.choice(["token", "key", "secret"])}={word()[0]}-{r.randrange(9999)}; }}')
         else:
             lines.append(f'{word()}_{r.choice(["token", "key"])}("{word()}_{word()}{r.randrange(999)}", {r.randrange(9999)})')
+    r = random.Random(43)  # values that marks divide into several tokens
+    mark = lambda: r.choice("@:?=,;()<>|")
+    parts = [lambda: rand(r.randrange(2, 7)) + r.choice("0123456789") + mark() + rand(r.randrange(3, 9)) + "4x", lambda: word().title() + r.choice("@?()|") + str(r.randrange(1000, 9999)), lambda: f"{mark()}{rand(3)}7{mark()}{rand(4)}{mark()}{rand(3)}2k", lambda: rand(6) + "3" + mark() + mark() + rand(2)]
+    plain = [lambda: f"{word()}:{word()}{r.randrange(99)}", lambda: f"{word()}={r.randrange(99)},{word()}", lambda: f"{word()}_{word()}({r.randrange(99)})", lambda: f"{word()}@{word()}.example"]
+    quoted = [f for f in forms if "{v}'" in f or '{v}"' in f or "{v}`" in f]
+    for _ in range(240):
+        lines.append(r.choice(quoted).format(n=r.choice(names), v=r.choice(parts if r.random() < 0.75 else plain)()))
+    lines += [f'url = "mysql://{word()}:{r.choice(parts)()}@db.{word()}.example:{r.randrange(1000, 9999)}/{word()}"' for _ in range(80)]
     return lines
 
 

@@ -77,3 +77,14 @@ def test_dataframes(spark):
     out = {r["record_id"]: r for r in redact_secrets(df).collect()}
     assert out[0]["text"] == 'db_password = "REDACTED"' and out[len(YES)]["text"] == NO[0] and out[len(YES) + len(NO)]["text"] is None
     assert find_secrets(df.filter("false")).count() == 0
+
+
+def test_values_that_marks_divide(model):
+    a = _automaton()
+    lines = {
+        'password = "P@ssw0rd2024"': "P@ssw0rd2024", "const apiKey = 'k7x:Qz91fd';": "k7x:Qz91fd", 'db_password: "aB3(x9;Kq<7>|=2?,z",': "aB3(x9;Kq<7>|=2?,z", '"client_secret": "Summer@2024",': "Summer@2024",
+        'url = "mysql://root:R4w:tok?n86@mail.query.example:8661/offset"': "R4w:tok?n86", 'url = "mysql://root:p@ss;w0rd@mail.query.example:8661/offset"': "p@ss;w0rd",
+    }
+    assert {x: [x[i:j] for _, i, j in spans(model, x, a)] for x in lines} == {x: [v] for x, v in lines.items()}
+    no = ['password = "amber:delta42"', 'secret = "read_secret(42)"', 'password = "x1@mail.query.example"', 'auth_token = "%(token1)s:x"', 'url = "https://db.beacon.example:6002/ledger?a=b1@c"']
+    assert [x for x in no if spans(model, x, a)] == []
