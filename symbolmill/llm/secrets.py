@@ -48,7 +48,8 @@ WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ɏ]+|[а-яё]+|\d+|[㐀-鿿]+"
 HOST = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}(?::\d+)?(?:/\S*)?$")
 PLAIN = re.compile(r"[A-Za-z_]+\d{0,4}$|[A-Za-z_]+(?:[./-][A-Za-z_]+)*$")
 LINE = re.compile(r"\r\n|\r|\n")
-JOIN = re.compile(r"([\"'`])[ \t]*(?:(?:\+|\.\.?|<>|~)[ \t]*(?:\\?\r?\n[ \t]*)?|\\?\r?\n[ \t]*(?:(?:\+|\.\.?|<>)[ \t]*)?)\1")
+JOIN = re.compile(r"([\"'`])[ \t]*(?:(?:\+|\.\.?|<>|~)[ \t]*(?:\\?(?:\r\n?|\n)[ \t]*)?|\\?(?:\r\n?|\n)[ \t]*(?:(?:\+|\.\.?|<>)[ \t]*)?)\1")
+CONTINUED = re.compile(r"[\"'`][ \t]*(?:\+|\.\.?|<>|~)?[ \t]*\\?[ \t]*(?:\r\n?|\n)[ \t]*(?:\+|\.\.?|<>)?[ \t]*[\"'`][^\r\n]*")
 TOKEN = re.compile(r"[A-Za-z0-9+/]{7,}={1,2}(?=[\"'`\s]|$)|(?:[\w+/!$%^*~#.\-]|&(?!\w+=))+|\s+|.", re.S)
 COMMENT = re.compile(r"\s*(?://|#|--|/?\*|;|<!--|%)")
 CALL = re.compile(r"(?:log_?in|connect|auth|open|sign_?in|bind)\w*\s*\(", re.I)
@@ -306,17 +307,19 @@ def windows(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int,
             other = text.find("\r", end, stop)
             stop = other if other >= 0 else stop
         last = stop
-        line = text[start:stop]
-        if not POSSIBLE.search(line):
-            continue
-        count += text.count("\n", counted, start) if simple else len(LINE.findall(text, counted, start))
-        counted = start
         whole = stop
         while True:  # literals joined over line ends
-            m = re.compile(r"[\"'`][ \t]*(?:\+|\.\.?|<>|~|\\)?[ \t]*\r?\n[ \t]*(?:\+|\.\.?|<>)?[ \t]*[\"'`][^\r\n]*").search(text, max(start, whole - 12), whole + 200)
-            if not m or m.start() > whole or m.end() <= whole or not any(q in text[max(start, whole - 12) : whole] for q in "\"'`"):
+            k = whole
+            while k > start and text[k - 1] in " \t+.<>~\\":
+                k -= 1
+            m = CONTINUED.match(text, k - 1) if k > start and text[k - 1] in "\"'`" else None
+            if not m or m.end() <= whole:
                 break
             whole = m.end()
+        if not POSSIBLE.search(JOIN.sub("", text[start:whole]) if whole > stop else text[start:whole]):
+            continue
+        count += text.count("\n", counted, start) if simple else len(LINE.findall(text, counted, start))
+        counted = start
         yield count, start, text[start:whole]
 
 

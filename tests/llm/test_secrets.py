@@ -88,3 +88,12 @@ def test_values_that_marks_divide(model):
     assert {x: [x[i:j] for _, i, j in spans(model, x, a)] for x in lines} == {x: [v] for x, v in lines.items()}
     no = ['password = "amber:delta42"', 'secret = "read_secret(42)"', 'password = "x1@mail.query.example"', 'auth_token = "%(token1)s:x"', 'url = "https://db.beacon.example:6002/ledger?a=b1@c"']
     assert [x for x in no if spans(model, x, a)] == []
+
+
+def test_joined_values_are_whole(model):
+    a = _automaton()
+    long = "aB3x9Kq7" * 60
+    for text, end in (('secret = "abcde" +\n    "9f8e7d6c"\nx = 1', "9f8e7d6c"), (f'api_key = "k7" + \\\n  "{long}"\nx = 1', long), (f'password = "aB3x9" {" " * 30}+\r\n\t"{long}" +\r\n\t"9z"\r\nx = 1', "9z")):
+        got = spans(model, text, a)
+        assert [line for line, _, _ in got] == [1]
+        assert text[: got[0][2]].endswith(end) and text[got[0][1] - 1] == '"' and text[got[0][2]] == '"'
