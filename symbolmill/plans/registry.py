@@ -298,6 +298,12 @@ def formatted_bytes(spark, d):
     return paths(spark, d).filter("abs((size / 102.4) % 1 - 0.5) > 0.001").select("file_id", format_bytes(F.col("size")).alias("text"))
 
 
+@query("format_bytes_all")
+def formatted_bytes_all(spark, d):
+    """Every file's size as text: decimals on a half are rounded up, null for null. Without SQL, since engines round halves differently."""
+    return paths(spark, d).select("file_id", format_bytes(F.col("size")).alias("text"))
+
+
 @query("estimate_tokens", f"WITH {S_} SELECT symbol_id, ceil(coalesce(length(code), 0) / 4)::BIGINT AS tokens FROM s")
 def estimated_tokens(spark, d):
     """Estimated tokens of every symbol's code."""
@@ -497,18 +503,19 @@ def _splice_sql(mode: str) -> str:
     return f"WITH {F_}, {S_}, p AS (SELECT symbol_id, line, end_line, string_split(content, chr(10)) AS l FROM s JOIN f USING (file_id) WHERE symbol_id % 20 = 0 AND content IS NOT NULL) SELECT symbol_id, md5(array_to_string(flatten([list_slice(l, 1, {head}), {middle}list_slice(l, end_line + 1, len(l))]), chr(10))) AS content_md5 FROM p"
 
 
-def _splice(mode: str):
+def _splice(mode: str, wanted: str):
     def run(spark, d):
-        s = names(spark, d).filter("symbol_id % 20 = 0").select("symbol_id", "file_id", "line", "end_line")
+        s = names(spark, d).filter(wanted).select("symbol_id", "file_id", "line", "end_line")
         f = files(spark, d).filter("content is not null").select("file_id", "content")
         return f.join(s, "file_id").select("symbol_id", F.md5(edits.splice(F.col("content"), F.col("line"), F.col("end_line"), F.lit("x = 1\n"), mode)).alias("content_md5"))
 
-    run.__doc__ = f"Each file after the {mode} of one of its symbols, for every symbol of the query set."
+    run.__doc__ = f"Each file after the {mode} of one of its symbols, for every symbol{' of the query set' if wanted != 'true' else ''}."
     return run
 
 
 for _mode in ("insert", "replace", "delete"):
-    query(f"splice_{_mode}", _splice_sql(_mode))(_splice(_mode))
+    query(f"splice_{_mode}", _splice_sql(_mode))(_splice(_mode, "symbol_id % 20 = 0"))
+    query(f"splice_{_mode}_all")(_splice(_mode, "true"))
 
 
 @query("parse_symbols")

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,32 @@ def test_splice(spark, tmp_path, mode, want):
     assert edits.edit_file(str(tmp_path), symbol, mode, None if mode == "delete" else "X\nY").success and (tmp_path / "f.py").read_text() == want
     if mode != "insert":
         assert not edits.edit_file(str(tmp_path), symbol, mode, "Z").success
+
+
+def test_splices_and_sizes_of_all_rows(spark, tmp_path):
+    from symbolmill.plans import registry
+
+    texts = {1: "a\nb\nc\nd", 2: "x\r\ny\n", 3: None}
+    sizes = [0, 1023, 1024, 1075, 1126, 2406, 1048576, 1101005, 1048576 * 5 // 4, 1024 * 5 // 4, None]
+    files = [(i, "r", f"f{i}.py", "python", n, 4, [], [], texts.get(i), None) for i, n in enumerate(sizes)]
+    places = [(1, 1, 1), (1, 2, 3), (1, 4, 4), (2, 1, 2), (3, 1, 1), (2, 2, 2)]
+    symbols = [(k, f, "r", f"f{f}.py", k, f"n{k}", "function", a, b, None) for k, (f, a, b) in enumerate(places, 19)]
+    spark.createDataFrame(files, "file_id bigint, repo string, path string, language string, size bigint, lines int, imports array<string>, exports array<string>, content string, indexed_at timestamp").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame(symbols, "symbol_id bigint, file_id bigint, repo string, file_path string, ordinal int, name string, type string, line int, end_line int, indexed_at timestamp").write.parquet(f"{tmp_path}/symbols.parquet")
+    queries = registry.queries()
+    for mode in ("insert", "replace", "delete"):
+        want = {}
+        for k, (f, a, b) in enumerate(places, 19):
+            if texts[f] is not None:
+                lines = texts[f].split("\n")
+                lines[(b if mode == "insert" else a - 1) : b] = [] if mode == "delete" else ["x = 1", ""]
+                want[k] = hashlib.md5("\n".join(lines).encode()).hexdigest()
+        assert {r["symbol_id"]: r["content_md5"] for r in queries[f"splice_{mode}_all"](spark, str(tmp_path)).collect()} == want
+
+    def text(n):
+        if n is None or n < 1024:
+            return n if n is None else f"{n} B"
+        by, unit = (1024, "KB") if n < 1048576 else (1048576, "MB")
+        return f"{(Decimal(n) / by).quantize(Decimal('0.1'), ROUND_HALF_UP)} {unit}"
+
+    assert {r["file_id"]: r["text"] for r in queries["format_bytes_all"](spark, str(tmp_path)).collect()} == {i: text(n) for i, n in enumerate(sizes)}
