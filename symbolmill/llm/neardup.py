@@ -6,8 +6,10 @@ document is lengthened (L is raised) while that lowers its estimated cost: entri
 pair is verified only if it shares as many prefix runs as the smaller of its two L, and so many that the rest of the sets
 can still make up the overlap that its two sizes ask for. Candidates are therefore complete.
 
-The order comes from a count sketch of fixed size over all occurrences in all documents. Texts with equal tokens are one
-class: only its least id is indexed, its members are joined back at the end.
+A run is at most as frequent as any token or token pair in it, so the order comes from the least count of these: two count
+sketches of fixed size, of tokens and of pairs, over all documents. Their kinds grow far slower than the runs, and counts are kept
+on a logarithmic scale, so that neither fills up with the data. Texts with equal tokens are one class: only its least id is
+indexed, its members are joined back at the end.
 """
 
 from collections.abc import Iterator
@@ -17,37 +19,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolmill.llm.shingles import chunks, shingles
+from symbolmill.llm.shingles import chunks, mix, shingles
 from symbolmill.sources.tables import checked_broadcast, cut
 
 WIDTH = 5
-#: Counters of the sketch (a byte each): 16 MB, whatever the data's size.
-SKETCH_BITS = 24
+#: Counters of each of the two sketches, a byte each once merged: 8 MB in all, whatever the data's size.
+SKETCH_BITS = 22
 BLOCK_BITS = 16
+#: Steps of the scale of counts in a doubling, and partial sketches that one task merges.
+STEPS, FAN_IN = 8, 64
 LEVELS = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in posted entries.
 VERIFY = 20.0
 
 
-def _survey(width: int, least: int, bits: int):
-    """Rows (rid, one, two, n) of each text with ``least`` tokens, and (block, counts) of the sketch."""
+def _pairs_of(t: np.ndarray) -> np.ndarray:
+    """A number of each two neighbouring tokens."""
+    with np.errstate(over="ignore"):
+        return mix(t[:-1] * np.uint64(0x9E3779B97F4A7C15) + t[1:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "one", "two", "n", "block", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        counts, waiting, held = np.zeros(1 << bits, np.uint8), [], 0
 
-        def flush():
-            nonlocal counts, waiting, held
-            if waiting:
-                at, n = np.unique(np.concatenate(waiting), return_counts=True)
-                counts[at] = np.minimum(counts[at].astype(np.int64) + n, 255)
-                waiting, held = [], 0
+def _survey(width: int, least: int, bits: int):
+    """Rows (rid, one, two, n) of each text with ``least`` tokens, and (block, places, counts) of the two sketches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "one", "two", "n", "block", "places", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        counts, shift = np.zeros(2 << bits, np.uint32), np.uint64(64 - bits)
         for b in batches:
             ids, texts = b.column("rid").to_numpy(), b.column("text").to_pylist()
             for i, j in chunks(texts):
-                t, cuts, sh, _ = shingles(texts[i:j], width)
+                t, cuts, _, _ = shingles(texts[i:j], width)
                 sizes = np.diff(cuts)
                 keep = np.flatnonzero(sizes >= least)
                 if not len(keep):
@@ -56,43 +58,61 @@ def _survey(width: int, least: int, bits: int):
                     place = np.arange(len(t), dtype=np.uint64) - np.repeat(cuts[:-1].astype(np.uint64), sizes)
                     one = np.add.reduceat(np.append(t * (place * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), np.uint64(0)), cuts[:-1])
                     two = np.add.reduceat(np.append((t ^ np.uint64(0x5851F42D4C957F2D)) * (place * np.uint64(0xD1342543DE82EF95) + np.uint64(3)), np.uint64(0)), cuts[:-1])
-                ok = np.repeat(sizes >= least, sizes)[: len(sh)]
-                inside = place[: len(sh)] + np.uint64(width) <= np.repeat(sizes.astype(np.uint64), sizes)[: len(sh)]
-                waiting.append((sh[ok & inside] >> np.uint64(64 - bits)).astype(np.uint32))
-                held += len(waiting[-1])
-                if held > 1 << 22:
-                    flush()
+                ok = np.repeat(sizes >= least, sizes)
+                np.add.at(counts, (t[ok] >> shift).astype(np.int64), np.uint32(1))
+                inside = ok[:-1] & (place[1:] > 0)
+                np.add.at(counts, (_pairs_of(t)[inside] >> shift).astype(np.int64) + (1 << bits), np.uint32(1))
                 k = len(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        flush()
-        blocks = [(k, counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS]) for k in range(1 << max(bits - BLOCK_BITS, 0))]
-        blocks = [(k, c.tobytes()) for k, c in blocks if c.any()]
-        for k, c in blocks:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([k], pa.int32()), pa.array([c])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), *(pa.nulls(k, x) for x in types[4:])], names)
+        for k in range(2 << (bits - BLOCK_BITS)):
+            c = counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS]
+            at = np.flatnonzero(c)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x) for x in types[:4]), pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([c[at].tobytes()])], names)
 
-    return run, "rid bigint, one bigint, two bigint, n int, block int, counts binary"
+    return run, "rid bigint, one bigint, two bigint, n int, block int, places binary, counts binary"
 
 
 def _add(pdf):
-    total = np.zeros(0, np.int64)
-    for c in pdf["counts"]:
-        total = np.frombuffer(c, np.uint8).astype(np.int64) + (total if len(total) else 0)
-    return pdf[["block"]].head(1).assign(counts=np.minimum(total, 255).astype(np.uint8).tobytes())
+    total = np.zeros(1 << BLOCK_BITS, np.int64)
+    for at, c in zip(pdf["places"], pdf["counts"]):
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(c, np.uint32)
+    at = np.flatnonzero(total)
+    return pdf[["block"]].head(1).assign(places=at.astype(np.uint16).tobytes(), counts=np.minimum(total[at], (1 << 32) - 1).astype(np.uint32).tobytes())
+
+
+def _merged(survey: DataFrame, bits: int) -> np.ndarray:
+    """The sketches of all tasks as one array of steps of the scale; partial sketches are merged FAN_IN at a time before the last step."""
+    parts = survey.filter("block is not null").select("block", "places", "counts", (F.spark_partition_id() / FAN_IN).cast("int").alias("part"))
+    for keys in (["block", "part"], ["block"]):
+        parts = parts.groupBy(*keys).applyInPandas(_add, "block int, places binary, counts binary")
+        parts = parts.withColumn("part", F.lit(0))
+    steps = np.zeros(2 << bits, np.uint8)
+    for r in parts.select("block", "places", "counts").toLocalIterator():  # at most 2^bits blocks' counters in all
+        c = np.frombuffer(r["counts"], np.uint32).astype(float)
+        steps[(r["block"] << BLOCK_BITS) + np.frombuffer(r["places"], np.uint16).astype(np.int64)] = np.minimum(np.round(STEPS * np.log2(c + 1)), 255)
+    return steps
 
 
 def _posts(width: int, least: int, t10: int, bits: int, sketch):
-    """(key, rid, n, level) of each prefix entry; keys are in the global order: count first, then the run's own bits."""
-    low = np.uint64(64 - bits)
+    """(key, rid, meta) of each prefix entry; keys are in the global order: estimated count first, then the run's own bits."""
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.uint8)
-        typical = float(np.mean(counts))
+        steps = np.frombuffer(sketch.value, np.uint8)
+        others_of = 2.0 ** (np.arange(256) / STEPS) - 2  # other occurrences, by step
         levels = np.array(LEVELS)
         for b in batches:
             ids, texts = b.column("rid").to_numpy(), b.column("text").to_pylist()
             for i, j in chunks(texts):
-                _, cuts, sh, sizes = shingles(texts[i:j], width)
-                seen = counts[sh >> low]
+                t, cuts, sh, sizes = shingles(texts[i:j], width)
+                one = steps[(t >> shift).astype(np.int64)]
+                two = steps[(_pairs_of(t) >> shift).astype(np.int64) + (1 << bits)] if len(t) > 1 else one[:0]
+                seen = one[: len(sh)].copy()
+                for k in range(1, width):
+                    np.minimum(seen, one[k : k + len(sh)], out=seen)
+                for k in range(width - 1):
+                    np.minimum(seen, two[k : k + len(sh)], out=seen)
                 keys = (seen.astype(np.uint64) << np.uint64(55)) | (sh >> np.uint64(9))
                 out = []
                 for rid, at, n in zip(ids[i:j].tolist(), cuts.tolist(), sizes.tolist()):
@@ -101,8 +121,7 @@ def _posts(width: int, least: int, t10: int, bits: int, sketch):
                     own = np.unique(keys[at : at + n])
                     need = -(-t10 * len(own) // 10)
                     base = len(own) - need
-                    # expected others per entry: what the counter has beyond a typical one
-                    others = np.cumsum(np.maximum((own[: base + levels[-1]] >> np.uint64(55)).astype(float) - 2 * typical - 1, 0))
+                    others = np.cumsum(np.maximum(others_of[(own[: base + levels[-1]] >> np.uint64(55)).astype(np.int64)], 0))
                     fit = levels[levels <= need]
                     ends = base + fit
                     cost = ends + VERIFY * others[ends - 1] / fit**2
@@ -160,13 +179,8 @@ def near_duplicates(records: DataFrame, t10: int = 7, least: int = 60, width: in
         raise ValueError("least must be width or more, t10 in 1..10, bits 16 or more")
     records = records.select(F.col("rid").cast("bigint").alias("rid"), "text").filter("rid is not null and text is not null")
     f, schema = _survey(width, least, bits)
-    tasks = 4 * spark.sparkContext.defaultParallelism  # each task sends one sketch, so their number is bounded
-    survey = cut(records.coalesce(tasks).mapInArrow(f, schema))
-    blocks = survey.filter("block is not null").groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
-    counts = np.zeros(1 << bits, np.uint8)
-    for r in blocks:  # 2^bits bytes in all
-        counts[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], np.uint8)
-    sketch = spark.sparkContext.broadcast(counts.tobytes())
+    survey = cut(records.mapInArrow(f, schema))
+    sketch = spark.sparkContext.broadcast(_merged(survey, bits).tobytes())
 
     named = survey.filter("rid is not null").withColumn("side", F.col("rid").bitwiseAND(1))
     reps = named.groupBy("side", "one", "two", "n").agg(F.min("rid").alias("rep"))

@@ -1,7 +1,12 @@
 import random
 import re
 
-from symbolmill.llm.neardup import all_pairs, components, near_duplicates
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+
+from symbolmill.llm.neardup import _posts, _survey, all_pairs, components, near_duplicates
 from symbolmill.llm.shingles import tokens
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^ \t\n\r\v\fA-Za-z0-9_]")
@@ -65,3 +70,27 @@ def test_pairs_and_groups(spark):
 def test_empty(spark):
     links, classes = near_duplicates(spark.createDataFrame([], "rid bigint, text string"), bits=16)
     assert all_pairs(links, classes).count() == 0 and components(links, classes).count() == 0
+
+
+def joined(texts, bits):
+    """Pairs that the posting join makes of ``texts`` under sketches of 2^bits counters."""
+    batch = pa.RecordBatch.from_pydict({"rid": [2 * i for i in range(len(texts))], "text": texts})
+    counts = np.zeros(2 << bits, np.int64)
+    for b in _survey(5, 60, bits)[0]([batch]):
+        for k, at, c in zip(*(b.column(n).to_pylist() for n in ("block", "places", "counts"))):
+            if k is not None:
+                counts[(k << 16) + np.frombuffer(at, np.uint16).astype(np.int64)] += np.frombuffer(c, np.uint32)
+    steps = np.minimum(np.round(8 * np.log2(counts + 1)), 255).astype(np.uint8)
+    keys = np.concatenate([b.column("key").to_numpy() for b in _posts(5, 60, 7, bits, SimpleNamespace(value=steps.tobytes()))[0]([batch])])
+    n = np.unique(keys, return_counts=True)[1].astype(np.int64)
+    return int((n * (n - 1) // 2).sum())
+
+
+def test_a_full_sketch_keeps_the_join_small():
+    """Two hundred occurrences a counter: a sketch of runs would hold noise alone, those of tokens and pairs still order them."""
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(3000)])
+    common = [" ".join(words[r.integers(0, 40, 30)]) for _ in range(20)]
+    texts = [" ".join([common[r.integers(20)], *words[np.minimum(r.zipf(1.3, 400), 3000) - 1], common[r.integers(20)]]) for _ in range(16000)]
+    assert sum(t.count(" ") for t in texts) > 100 * (1 << 16)
+    assert joined(texts, 16) <= 2 * joined(texts, 22)
