@@ -4,6 +4,7 @@ import re
 from functools import lru_cache
 
 from symbolmill.llm.derive import EMPTY, Grammar
+from symbolmill.llm.python_syntax import Python, python_grammar
 
 DQ, SQ, BQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", r"`(?:[^`\\]|\\[\s\S])*`"
 CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,10})'"
@@ -28,7 +29,7 @@ SOFT = set("record type module namespace of from get set as is file init require
 
 
 #: Of these, what a language reserves.
-HARD = {"python": SOFT, "lua": SOFT, "ruby": SOFT, "elixir": SOFT, "go": SOFT, "rust": {"match", "type", "where", "static", "async", "abstract", "await"}, "java": {"abstract", "static"}, "csharp": {"is", "as", "static", "abstract", "override", "readonly", "namespace", "operator", "params"}, "cpp": {"static", "namespace", "inline", "operator", "union", "auto"}, "c": {"static", "inline", "auto", "union"}, "php": {"namespace", "static", "as", "abstract", "print", "echo", "match", "global"}, "kotlin": {"is", "as"}, "scala": {"given", "case", "match", "lazy", "sealed", "override", "abstract", "yield", "type"}, "swift": {"is", "as", "static", "extension", "operator", "await", "where"}, "dart": {"is", "late", "static", "as"}}
+HARD = {"python": SOFT, "lua": SOFT, "ruby": SOFT, "elixir": SOFT, "go": SOFT, "rust": {"match", "type", "where", "static", "async", "abstract", "await"}, "java": {"abstract", "static", "case", "yield"}, "csharp": {"case", "is", "as", "static", "abstract", "override", "readonly", "namespace", "operator", "params"}, "cpp": {"case", "static", "namespace", "inline", "operator", "union", "auto"}, "c": {"case", "static", "inline", "auto", "union"}, "php": {"case", "namespace", "static", "as", "abstract", "print", "echo", "match", "global"}, "kotlin": {"is", "as"}, "scala": {"given", "case", "match", "lazy", "sealed", "override", "abstract", "yield", "type"}, "swift": {"case", "is", "as", "static", "extension", "operator", "await", "where"}, "dart": {"case", "is", "late", "static", "as"}, "javascript": {"case", "yield", "await"}, "typescript": {"case", "yield", "await"}}
 
 
 class Language:
@@ -62,7 +63,7 @@ class Language:
             return self.keywords[t]
         if re.fullmatch(CONFLICT, t):
             return "bad"
-        if self.string.fullmatch(t):
+        if self.string.fullmatch(t) or t[0] == "/" and len(t) > 2 and self.name == "ruby":
             return "s"
         if t[0] == "#" and len(t) > 1 and self.name in ("c", "cpp"):
             return "include" if "include" in t else "directive"
@@ -91,23 +92,35 @@ class Language:
             return "++"
         return t
 
-    def lex(self, text: str) -> list[str]:
-        """Kinds of the tokens of a text; line ends that end a statement are kind ``end``."""
+    def prepare(self, text: str) -> str:
+        """The text as it is cut into tokens, of equal length."""
+        return text
+
+    def scan(self, text: str) -> list[tuple[int, str]]:
+        """(offset, token) of every token."""
+        return [(m.start(1), m[1]) for m in self.rx.finditer(self.prepare(text)) if m[1]]
+
+    def tokens(self, text: str) -> list[str]:
+        return [t for t in self.rx.findall(self.prepare(text)) if t]
+
+    def lex(self, text: str) -> tuple[list[str], list[int]]:
+        """Kinds of the tokens of a text, and of each the number of its token; line ends that end a statement are kind ``end``."""
         kind, known = self.kind, self.known
-        toks = [t for t in self.rx.findall(text) if t]
+        toks = self.tokens(text)
         raw = [known.get(t) or kind(t) for t in toks]
         if not self.soft.isdisjoint(toks):  # words that are keywords only where a name or a body follows
             for i, t in enumerate(toks):
                 if t in self.soft and (i + 1 == len(raw) or raw[i + 1] not in SOFT_BEFORE or i and raw[i - 1] in (".", "?.", "::")):
                     raw[i] = "id"
-        return raw if not self.lines else self.fold(raw)
+        return (raw, list(range(len(raw)))) if not self.lines else self.fold(raw)
 
     #: Kinds after which, or before which, a line end does not end the statement.
     OPEN_ENDED = {"(", "[", ",", "op", "pm", "pre", "=", "asg", ".", "?.", "::", "=>", "->", "?", ":", "\\", "end", "{", ";", "do_", "|", "mod", "in", "@"}
     CONTINUES = {".", "?.", "op", "=>", "?", ":", ")", "]", ",", "=", "asg", "->", "else_", "::", ";", "end", "?:"}
 
-    def fold(self, raw: list[str]) -> list[str]:
+    def fold(self, raw: list[str]) -> tuple[list[str], list[int]]:
         out: list[str] = []
+        at: list[int] = []
         depth: list[str] = []
         n = len(raw)
         for i, k in enumerate(raw):
@@ -122,6 +135,7 @@ class Language:
                 if j < n and raw[j] in self.CONTINUES:
                     continue
                 out.append("end")
+                at.append(i)
                 continue
             if k in ("(", "[", "{"):
                 depth.append(k)
@@ -132,10 +146,65 @@ class Language:
             elif k == "stop" and depth and depth[-1] == "{":
                 depth.pop()
             out.append(k)
+            at.append(i)
+        return out, at
+
+
+class Script(Language):
+    """JavaScript and TypeScript: what stands in front of a slash tells a regular expression from a division, and templates may nest."""
+
+    REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
+    NESTED = re.compile(r"\$\{[^}`]*`")
+    #: Kinds that end an operand, so that a slash behind them divides.
+    OPERANDS = {"id", "n", "s", "lit", ")", "]", "}", "++"}
+
+    def template(self, text: str, i: int) -> int:
+        """Where the template that begins at ``i`` ends."""
+        i, depth, n = i + 1, [], len(text)
+        while i < n:
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif depth and c == "}":
+                depth.pop()
+            elif depth and c == "{":
+                depth.append("{")
+            elif depth and c == "`":
+                i = self.template(text, i) - 1
+            elif depth and c in "\"'":
+                m = self.string.match(text, i)
+                i = m.end() - 1 if m else i
+            elif not depth and c == "`":
+                return i + 1
+            elif not depth and text.startswith("${", i):
+                depth.append("{")
+                i += 1
+            i += 1
+        return n
+
+    def scan(self, text: str) -> list[tuple[int, str]]:
+        out, pos, before, known = [], 0, "", self.known
+        while m := self.rx.match(text, pos):
+            t, pos = m[1], m.end()
+            if not t:
+                break
+            if t[0] == "/" and before not in self.OPERANDS and (m2 := self.REGEX.match(text, m.start(1))):
+                t, pos = "\"\"", m2.end()
+            elif t[0] == "`":
+                pos = self.template(text, m.start(1))
+                t = "\"\"" if text[pos - 1 : pos] == "`" else t
+            out.append((m.start(1), t))
+            before = (known.get(t) or self.kind(t)) if t != "\n" else before
         return out
 
+    def tokens(self, text: str) -> list[str]:
+        toks = super().tokens(text)
+        if "/" in toks or "/=" in toks or "`" in toks or self.NESTED.search(text):
+            return [t for _, t in self.scan(text)]
+        return toks
 
-def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, named="", ternary=True, casts=False, strings_join=False, colon_args=False, arrow=False, funs="", types=False, pre="", mods="", spread=True, operators="", assigns=True, slices=False) -> int:
+
+def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, named="", ternary=True, casts=False, strings_join=False, colon_args=False, arrow=False, funs="", types=False, pre="", mods="", spread=True, operators="", assigns=True, slices=False, choice=0, closures=False, arms=False) -> int:
     """Rules ``E`` (expression), ``group`` (arguments or parentheses) and their parts."""
     e, block = g.ref("E"), g.ref("block")
     label = g.opt(g.alt(g.seq("id", named), g.seq("s", named) if named == ":" else g.seq("id", named))) if named else g.seq()
@@ -158,6 +227,18 @@ def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, name
         prim.append(obj)
     if blocks:
         prim.append(block)
+    if choice:
+        prim.append(g.seq("switch", "(", e, ")", choice))
+    if arrow:
+        prim.append(g.tok("op_pre"))  # a bare yield
+    if closures:
+        one = g.seq(g.star(g.alt("pm", "mod")), g.alt("id", group), g.opt(":", g.ref("type")))
+        prim.append(g.seq(g.opt("mod"), "op", g.opt(g.opt(one, g.star(",", one)), "op"), g.opt("->", g.ref("type")), e))
+    if arms:
+        arm = g.seq(g.alt(e, "default_"), g.star(",", e), "=>", e)
+        cases = g.seq("{", arm, g.star(",", arm), g.opt(","), "}")
+        prim.append(g.seq("switch", "(", e, ")", cases))
+        post.append(g.seq("switch", cases))
     if funs:
         prim.append(g.seq(g.opt("mod"), funs, g.opt("pm"), g.opt("id"), group, g.opt(g.alt(":", "->"), g.ref("type")), block))
     if arrow:
@@ -174,19 +255,19 @@ def expressions(g: Grammar, *, blocks=False, objects=False, trailing=False, name
     return g.rule("E", g.seq(unary, rest, tern))
 
 
-def typed(g: Grammar) -> None:
+def typed(g: Grammar, style: str) -> None:
     """Rule ``type``: names with arguments, pointers, arrays, functions and unions."""
     t = g.ref("type")
     some = g.opt(t, g.star(",", t))
     atom = g.alt(g.seq("id"), "s", "n", g.seq("[", g.opt(t, g.star(g.alt(",", ";", ":"), g.alt(t, "n"))), "]", g.opt(g.alt("id", g.ref("type")))), g.seq("(", g.opt(g.opt("id", g.opt("?"), ":"), t, g.star(",", g.opt("id", g.opt("?"), ":"), t)), ")"), g.seq("{", g.star(g.alt("id", "s", ":", ",", ";", "?", "|", "end", "mod", g.seq("[", some, "]"))), "}"), "lit", "new", "imp", "kw", "cls", "fun")
-    tail = g.star(g.alt(g.seq(g.alt(".", "::"), "id"), "gen", g.seq("[", g.opt(g.alt(t, "n")), "]"), "?", "pre", "pm", "!!"))
-    g.rule("type", g.seq(g.star(g.alt("pm", "pre", "mod", "op_word")), atom, tail, g.star(g.alt("op", "pm", "->", "=>", "is_", "op_word"), t)))
+    tail = g.star(g.alt(g.seq(g.alt(".", "::"), "id"), "gen", g.seq("[", g.opt(g.alt(t, "n"), *([g.star(",", t)] if style == "go" else [])), "]"), "?", "pre", "pm", "!!", *([g.seq("(", some, ")")] if style == "rust" else [])))
+    g.rule("type", g.seq(g.star(g.alt("pm", "pre", "mod", "op_word", *(["cls"] if style == "rust" else []))), atom, tail, g.star(g.alt("op", "pm", "->", "=>", "is_", "op_word"), t)))
 
 
 def braces(style: str) -> Grammar:
     """The grammar of a language whose blocks are braces."""
     g = Grammar()
-    typed(g)
+    typed(g, style)
     ty, e, block, stmt, group, params = (g.ref(x) for x in ("type", "E", "block", "stmt", "group", "params"))
     semi = style in ("java", "csharp", "c", "cpp", "php", "rust", "dart")
     end = g.plus(";") if semi else g.plus(g.alt(";", "end"))
@@ -195,7 +276,7 @@ def braces(style: str) -> Grammar:
     expressions(
         g, blocks=style in ("rust", "kotlin", "scala", "swift", "cpp", "java", "csharp", "dart", "go", "c"), objects=style in ("javascript", "typescript", "dart", "go", "c", "cpp", "csharp", "swift"),
         trailing=style in ("kotlin", "scala", "swift", "rust", "go", "cpp", "java", "csharp") and not heads or style == "cpp", named={"swift": ":", "csharp": ":", "kotlin": "=", "dart": ":", "php": ":"}.get(style, ""), ternary=style not in ("go", "rust", "kotlin", "scala"),
-        casts=style in ("java", "csharp", "c", "cpp", "php", "go"), strings_join=style in ("c", "cpp", "dart"), arrow=style in ("javascript", "typescript"), funs="fun" if style in ("javascript", "typescript", "php", "go", "kotlin") else "", assigns=style != "go", slices=style == "go",
+        casts=style in ("java", "csharp", "c", "cpp", "php", "go"), strings_join=style in ("c", "cpp", "dart"), arrow=style in ("javascript", "typescript"), funs="fun" if style in ("javascript", "typescript", "php", "go", "kotlin") else "", assigns=style != "go", slices=style == "go", choice=block if style in ("java", "kotlin", "csharp") else 0, closures=style == "rust", arms=style in ("php", "csharp"),
         types=style in ("typescript", "swift", "kotlin", "dart", "csharp", "rust"), pre={"javascript": "op_pre", "typescript": "op_pre gen", "php": "@ mod", "go": "<-", "rust": "mod", "swift": "mod", "csharp": "mod"}.get(style, ""),
         operators={"javascript": "in", "typescript": "in as_", "kotlin": "in as_ -> ..<", "scala": "-> =>", "rust": "as_ => ... :", "java": "->", "csharp": "=>", "cpp": "-> ...", "c": "->", "php": "=> -> as_", "swift": "as_ ... ..< ??", "dart": "=> as_", "go": ""}.get(style, ""),
     )
@@ -225,6 +306,7 @@ def braces(style: str) -> Grammar:
     result = {"typescript": g.opt(":", ty), "kotlin": g.opt(":", ty), "scala": g.opt(":", ty), "rust": g.opt("->", ty), "swift": g.seq(g.star("mod"), g.opt("->", ty)), "go": g.opt(g.alt(ty, params)), "php": g.opt(":", g.opt("?"), ty)}.get(style, g.seq())
     where = g.opt("where", g.star(g.alt("id", ":", ",", "gen", "pm", "::", ".", "op", "==", group)))
     forms = [block]
+    kinds = g.seq("[", g.plus("id", g.star(",", "id"), ty, g.opt(",")), "]")  # type parameters of Go
     # functions with a keyword
     receiver = g.opt(params) if style == "go" else g.seq()
     name = g.seq(g.opt("pm"), g.alt("id", "new", "kw")) if style in ("javascript", "typescript", "php") else g.seq(g.alt("id", "s", "new"), g.star(".", "id"))
@@ -234,13 +316,13 @@ def braces(style: str) -> Grammar:
             tail += [g.seq("=", e, end), end]
         if style in ("typescript", "rust", "swift", "php", "go"):
             tail.append(end)
-        forms.append(g.seq(lead, "fun", receiver, g.opt("gen"), name, g.opt("gen"), params, result, g.alt(*tail)))
+        forms.append(g.seq(lead, "fun", receiver, g.opt("gen"), name, g.opt(g.alt("gen", kinds)) if style == "go" else g.opt("gen"), params, result, g.alt(*tail)))
     if style == "scala":
         forms.append(g.seq(lead, "fun", g.alt("id", "op", "new"), g.opt(index_of(g)), g.star(params), result, g.alt(end, g.seq("=", e, end), block)))
     # classes and the like
     bases = g.star(g.alt("id", "gen", "ext", "op_word", ".", "::", ",", ":", "mod", "pm", params, group, g.seq("[", g.opt(ty), "]"), "lit", "?", "acc"))
     if style in ("go",):
-        forms.append(g.seq("type_", "id", g.opt("gen"), g.opt("="), g.alt(g.seq("cls", "{", g.star(g.alt("id", ".", "gen", "s", "pm", "end", ";", ",", "cls", "[", "]", "n", params, "(", ")", "{", "}")), "}"), ty), end))
+        forms.append(g.seq("type_", "id", g.opt(g.alt("gen", kinds)), g.opt("="), g.alt(g.seq("cls", "{", g.star(g.alt("id", ".", "gen", "s", "pm", "end", ";", ",", "cls", "[", "]", "n", params, "(", ")", "{", "}")), "}"), ty), end))
         forms.append(g.seq(g.alt("var", "const_"), "(", g.star(g.alt("end", ";", g.seq("id", g.opt(ty), g.opt("=", e)))), ")", end))
         forms.append(g.seq("imp", g.alt(g.seq(g.opt("id"), "s"), g.seq("(", g.star(g.alt("s", "id", "end", ";", ".")), ")"), "id"), end))
     elif style in ("c",):
@@ -285,7 +367,7 @@ def braces(style: str) -> Grammar:
     cond = g.seq("(", g.opt(e, g.star(g.alt(",", ";"), g.opt(e))), ")")
     if style in ("javascript", "typescript"):
         loop = g.seq("(", g.alt(g.seq(g.opt("var"), ident, g.alt("in", "of_"), e), g.seq(g.opt(g.opt("var"), ident, g.opt("=", e), g.star(",", e)), ";", g.opt(e), ";", g.opt(e, g.star(",", e)))), ")")
-        control = [g.seq("for", g.opt("await_"), loop, post_if), g.seq(g.alt("if", "while"), cond, post_if)]
+        control = [g.seq("for", g.opt("op_pre"), loop, post_if), g.seq(g.alt("if", "while"), cond, post_if)]
     elif style in ("java", "cpp", "c"):
         v = g.alt("var", g.seq(g.star("mod"), ty)) if style != "c" else g.seq(g.star("mod"), g.opt("cls"), ty)
         each = [g.seq(g.star("mod"), v, g.star("pm"), ident, ":", e)] if style != "c" else []
@@ -312,9 +394,9 @@ def braces(style: str) -> Grammar:
     else:  # swift
         control = [g.seq("for", g.alt(ident, g.ref("params")), "in", e, g.opt("where", e), block), g.seq(g.alt("if", "while"), g.opt("var", "id", g.opt("=", e)), g.opt(e), g.star(",", g.alt(e, g.seq("var", "id", "=", e))), block), g.seq("guard", g.opt("var"), e, "else_", block)]
     control += [
-        g.seq("else_", g.alt(post_if, stmt if not heads else g.ref("control"), *([e] if style in ("kotlin", "scala") else []))),
+        g.seq("else_", g.opt("->") if style == "kotlin" else g.seq(), g.alt(post_if, stmt if not heads else g.ref("control"), *([e] if style in ("kotlin", "scala") else []))),
         g.seq("try", g.opt(cond) if style in ("java",) else g.seq(), block), g.seq("catch", g.opt(g.alt(params, group, cond)), block) if not heads else g.seq("catch", g.opt(e), block), g.seq("finally", block),
-        g.seq("do_", block, g.opt("end"), g.opt("while", g.alt(cond, e), g.opt(end))), g.seq("switch", cond if not heads else e, block), g.seq("case_", e, g.star(",", e), g.opt("if", e), g.alt(":", "->", "=>")), g.seq("default_", g.alt(":", "->")), g.seq("lock_", cond, block),
+        g.seq("do_", block, g.opt("end"), g.opt("while", g.alt(cond, e), g.opt(end))), g.seq("switch", cond if not heads else e, block), g.seq("case_", g.alt(e, g.seq(ty, "id")) if style in ("java", "csharp") else e, g.star(",", e), g.opt("if", e), g.alt(":", "->", "=>")), g.seq("default_", g.alt(":", "->")), g.seq("lock_", cond, block),
     ]
     g.rule("control", g.alt(*control))
     forms.append(g.ref("control"))
@@ -397,59 +479,6 @@ def EMPTY_SEQ(g):
     return g.seq()
 
 
-def python_grammar() -> Grammar:
-    g = Grammar()
-    e, stmt, suite = g.ref("E"), g.ref("stmt"), g.ref("suite")
-    lam = g.seq("lambda", g.opt(g.ref("lparams")), ":", e)
-    star = g.opt(g.alt("pm", "op"))
-    comp = g.ref("comp")
-    g.rule("comp", g.plus(g.opt("async"), "for", g.ref("targets"), "in", g.ref("or"), g.star("if", g.ref("or"))))
-    elem = g.seq(star, g.opt("id", g.alt("=", ":=")), e, g.opt(comp))
-    listing = g.opt(elem, g.star(",", g.opt(elem)))
-    g.rule("group", g.seq("(", g.alt(listing, g.seq("yield", g.opt(e))), ")"))
-    part = g.opt(e)
-    sub = g.alt(g.seq(star, e, g.opt(":=", e)), g.seq(part, ":", part, g.opt(":", part)))
-    g.rule("index", g.seq("[", sub, g.star(",", g.opt(sub)), "]"))
-    pair = g.alt(g.seq(e, ":", e, g.opt(comp)), g.seq("op", e), g.seq(star, e, g.opt(comp)))
-    atom = g.alt("id", "n", g.plus("s"), "lit", g.ref("group"), g.seq("[", listing, "]"), g.seq("{", g.opt(pair, g.star(",", g.opt(pair))), "}"), "...")
-    post = g.alt(g.seq(".", g.alt("id", "soft")), g.ref("group"), g.ref("index"))
-    atom = g.alt(atom, "soft")
-    unary = g.seq(g.star(g.alt("pm", "~", "not", "await")), atom, g.star(post))
-    bop = g.alt("op", "pm", "bool", "in", g.seq("not", "in"), g.seq("is", g.opt("not")), "@", "pre")
-    g.rule("or", g.alt(g.seq(unary, g.star(bop, g.star("not"), unary)), lam))
-    g.rule("E", g.seq(g.ref("or"), g.opt("if", g.ref("or"), "else", e)))
-    g.rule("lparams", g.seq(g.opt(g.alt("pm", "op")), g.opt("id"), g.opt("=", e), g.star(",", g.opt(g.alt("pm", "op")), g.opt("id"), g.opt("=", e))))
-    item = g.seq(star, unary)
-    g.rule("targets", g.seq(item, g.star(",", g.opt(item))))
-    exprs = g.seq(star, e, g.star(",", g.opt(star, e)))
-    param = g.alt(g.seq(g.opt(g.alt("pm", "op")), g.alt("id", "soft"), g.opt(":", star, e), g.opt("=", e)), "pm", "op")
-    params = g.opt(param, g.star(",", g.opt(param)))
-    value = g.alt(exprs, g.seq("yield", g.opt(g.opt("from"), exprs)))
-    dotted = g.seq(g.alt("id", "soft"), g.star(".", g.alt("id", "soft")))
-    alias = g.seq(dotted, g.opt("as", "id"))
-    frm = g.seq("from", g.alt(g.seq(g.star(g.alt(".", "...")), dotted), g.plus(g.alt(".", "..."))), "import", g.alt("pm", g.seq(alias, g.star(",", alias)), g.seq("(", alias, g.star(",", g.opt(alias)), ")")))
-    small = g.alt(
-        g.seq(exprs, g.opt(":", e), g.star("=", value)), g.seq(exprs, "asg", value), g.seq("return", g.opt(exprs)), g.seq("raise", g.opt(e, g.opt("from", e))), "pass", "jump", g.seq("del", exprs), g.seq("assert", e, g.opt(",", e)),
-        g.seq("scope", "id", g.star(",", "id")), g.seq("import", alias, g.star(",", alias)), frm, g.seq("yield", g.opt(g.opt("from"), exprs)),
-    )
-    line = g.seq(small, g.star(";", small), g.opt(";"), "NL")
-    g.rule("suite", g.alt(line, g.seq("NL", "IN", g.plus(stmt), "DE")))
-    define = g.seq(g.opt("async"), "def", g.alt("id", "soft"), g.opt(g.ref("index")), "(", params, ")", g.opt("->", e), ":", suite)
-    klass = g.seq("class", g.alt("id", "soft"), g.opt(g.ref("index")), g.opt(g.ref("group")), ":", suite)
-    els = g.opt("else", ":", suite)
-    withitem = g.seq(e, g.opt("as", unary))
-    compound = g.alt(
-        g.seq("if", g.opt("id", ":="), e, ":", suite, g.star("elif", e, ":", suite), els), g.seq("while", e, ":", suite, els), g.seq(g.opt("async"), "for", g.ref("targets"), "in", exprs, ":", suite, els),
-        g.seq("try", ":", suite, g.alt(g.seq(g.plus("except", g.opt("pm"), g.opt(e, g.star(",", e), g.opt("as", "id")), ":", suite), els, g.opt("finally", ":", suite)), g.seq("finally", ":", suite))),
-        g.seq(g.opt("async"), "with", g.alt(g.seq(withitem, g.star(",", withitem)), g.seq("(", withitem, g.star(",", g.opt(withitem)), ")")), ":", suite),
-        define, klass, g.seq(g.plus("@", e, "NL"), g.alt(define, klass)),
-        g.seq("soft", exprs, ":", "NL", "IN", g.plus("soft", exprs, g.opt("as", "id"), g.opt("if", e), ":", suite), "DE"), g.seq("soft", "id", g.opt(g.ref("index")), "=", e, "NL"),
-    )
-    g.rule("stmt", g.alt(compound, line))
-    g.rule("start", g.star(g.alt(stmt, "NL")))
-    return g.close()
-
-
 def lua_grammar() -> Grammar:
     g = Grammar()
     e, block = g.ref("E"), g.ref("block")
@@ -532,14 +561,14 @@ def shell_grammar() -> Grammar:
     g = Grammar()
     lst = g.ref("list")
     word = g.alt("w", "s", "=")
-    redir = g.seq("redir", g.opt(word))
+    redir = g.seq("redir", g.opt(g.alt(word, g.seq(g.opt("redir"), "(", g.star("end"), lst, ")"))))
     assign = g.seq("assign", g.opt(g.alt("w", "s", g.seq("(", g.star(g.alt("w", "s", "end", "assign")), ")"))))
     simple = g.alt(g.seq(g.plus(g.alt(assign)), g.star(g.alt(word, redir, assign))), g.seq(word, g.star(g.alt(word, redir, assign, "in", "{", "}", "pre"))))
     sep = g.plus(g.alt("end", ";", "&"))
     body = g.seq(g.star("end"), lst)
     g.rule("compound", g.alt(
-        g.seq("if", body, "then", body, g.star("elif", body, "then", body), g.opt("else", body), "fi"), g.seq(g.alt("while"), body, "do", body, "done"), g.seq("for", "w", g.opt("in", g.star(word)), sep, "do", body, "done"), g.seq("for", "arith", g.star(g.alt("end", ";")), "do", body, "done"),
-        g.seq("case", word, "in", g.star("end"), g.star(g.opt("("), word, g.star("pipe", word), ")", g.opt(body), g.opt(";;"), g.star("end")), "esac"), g.seq("{", body, "}"), g.seq("(", body, ")"), g.seq("w", "(", ")", g.star("end"), g.ref("compound")),
+        g.seq("if", body, "then", body, g.star("elif", body, "then", body), g.opt("else", body), "fi"), g.seq(g.alt("while"), body, "do", body, "done"), g.seq("for", "w", g.alt(g.seq(g.opt("in", g.star(word)), sep), g.seq()), "do", body, "done"), g.seq("for", "arith", g.star(g.alt("end", ";")), "do", body, "done"),
+        g.seq("case", word, "in", g.star("end"), g.star(g.opt("("), word, g.star("pipe", word), ")", g.star("end"), g.opt(lst), g.opt(";;"), g.star("end")), "esac"), g.seq("{", body, "}"), g.seq("(", body, ")"), g.seq("w", "(", ")", g.star("end"), g.ref("compound")),
         g.seq("function", "w", g.opt("(", ")"), g.star("end"), g.ref("compound")), "arith", g.seq("test", g.star(redir)),
     ))
     cmd = g.seq(g.star("!"), g.alt(simple, g.seq(g.ref("compound"), g.star(redir)), redir))
@@ -573,27 +602,25 @@ def languages() -> dict[str, tuple[Language, "Grammar", int]]:
     scala.pop("case", None), scala.pop("switch")
     scala |= {"case": "mod"}
     dart = common | words("class mixin extension enum", "cls") | words("static abstract external covariant required async factory operator", "mod") | words("final const var late", "var") | words("default", "default_") | words("import export part library", "imp") | words("extends implements with on", "ext") | words("in", "in") | words("as is", "as_") | words("show hide", "mod") | words("await", "pre") | words("yield rethrow assert", "ret") | words("get set", "get_")
-    php = common | words("class interface trait enum", "cls") | words("function fn", "fun") | words("public private protected static final abstract readonly global", "mod") | words("const", "const_") | words("default", "default_") | words("use require include require_once include_once", "imp") | words("namespace", "pkg") | words("foreach", "foreach") | words("as", "as_") | words("extends implements insteadof", "ext") | words("echo print", "ret") | words("instanceof and or xor", "op") | words("<?php", "open_tag") | words("?>", "close_tag") | words("clone", "pre")
+    php = common | words("class interface trait enum", "cls") | words("function fn", "fun") | words("public private protected static final abstract readonly global", "mod") | words("const", "const_") | words("default", "default_") | words("use require include require_once include_once", "imp") | words("namespace", "pkg") | words("foreach", "foreach") | words("as", "as_") | words("extends implements insteadof", "ext") | words("echo print", "ret") | words("instanceof and or xor", "op") | words("<?php", "open_tag") | words("?>", "close_tag") | words("clone", "pre") | words("match", "switch")
     php |= words("const", "var")
-    py = {w: w for w in "if elif else for while try except finally with def class async await lambda return raise pass del assert import from as in is not yield".split()} | words("and or", "bool") | words("break continue", "jump") | words("global nonlocal", "scope") | words("True False None", "lit") | words("match case type", "soft") | {":=": ":=", "~": "~", "**": "op", "@": "@", "...": "..."}
     lua = {w: w for w in "if then else elseif for while do repeat until function local return break goto in not".split()} | words("end", "stop") | words("and or", "bool") | words("nil true false", "lit")
     ruby = words("if unless", "if") | words("elsif", "elsif") | words("else", "else_") | words("end", "stop") | words("do", "do_") | words("while until", "while") | words("for", "for") | words("in", "in") | words("case", "case") | words("when", "when_") | words("then", "then") | words("def", "def") | words("class module", "cls") | words("begin", "begin") | words("rescue", "rescue") | words("ensure", "ensure") | words("return break next redo retry raise", "ret") | words("and or", "bool") | words("not defined?", "not") | words("nil true false self super __FILE__", "lit") | words("yield puts require require_relative attr_reader attr_writer attr_accessor private public protected include extend raise alias undef", "kw") | {"->": "fn_", "&": "pm", "&.": "?.", "|": "|", "<<": "op"}
     elixir = words("if unless", "if") | words("case cond with for receive try quote", "case") | words("else", "else_") | words("end", "stop") | words("do", "do_") | words("fn", "fn_") | words("def defp defmacro defmacrop defguard", "def") | words("defmodule defprotocol defimpl", "cls") | words("when", "when_") | words("rescue catch after", "rescue") | words("and or in", "op") | words("not", "not") | words("nil true false __MODULE__", "lit") | words("import alias use require", "imp") | {"&": "amp", "^": "pin", "|": "|", "<-": "<-", "<<": "op", ">>": "op"}
     c_comments = [SLASHES, BLOCK]
-    tpl = r"/(?![/*\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[gimsuy]*(?=\s*[;,).\]\n])"
     raw = r'[rb]{1,2}#*"[\s\S]*?"#*|b?"(?:[^"\\]|\\[\s\S])*"'
     include = r"#\s*include\s*(?:<[^>\n]+>|\"[^\"\n]+\")"
     directive = r"#\s*(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\]|\\[\s\S])*"
     L = Language
     defs = {
-        "javascript": L("javascript", c_comments, [DQ, SQ, BQ, r"(?<=[=(,:!&|?{};\n])\s*" + tpl], js, lines=True, generic=False, idents=r"[^\W\d][\w$]*|\$[\w$]*", extra=[r"\A#![^\n]*"], unlexed="// <> :: -> =~ !~ := .= <- |> ||| &&& ~> .. ..< ..= //= !! ?: <<~"),
-        "typescript": L("typescript", c_comments, [DQ, SQ, BQ, r"(?<=[=(,:!&|?{};\n])\s*" + tpl], ts, lines=True, idents=r"[^\W\d][\w$]*|\$[\w$]*", extra=[r"\A#![^\n]*"], unlexed="// <> :: -> =~ !~ := .= <- |> ||| &&& ~> .. ..< ..= //= !! ?: <<~"),
+        "javascript": Script("javascript", c_comments, [DQ, SQ, BQ], js, lines=True, generic=False, idents=r"#?[^\W\d][\w$]*|\$[\w$]*", extra=[r"\A#![^\n]*"], unlexed="// <> :: -> =~ !~ := .= <- |> ||| &&& ~> .. ..< ..= //= !! ?: <<~"),
+        "typescript": Script("typescript", c_comments, [DQ, SQ, BQ], ts, lines=True, idents=r"#?[^\W\d][\w$]*|\$[\w$]*", extra=[r"\A#![^\n]*"], unlexed="// <> :: -> =~ !~ := .= <- |> ||| &&& ~> .. ..< ..= //= !! ?: <<~"),
         "java": L("java", c_comments, [TRIPLE, DQ, CHAR], java, unlexed="// <> === !== ?. ?? => := =~ !~ .. ..< ..= ** **= //= !! ?: <<~ ??= <- |>"),
         "csharp": L("csharp", [*c_comments, r"(?m:^[ \t]*#[ \t]*(?:if|else|elif|endif|define|undef|region|endregion|pragma|nullable|warning|error|line)\b[^\n]*)"], [TRIPLE, r'[$@]{1,2}"(?:[^"\\]|\\.|"")*"', DQ, CHAR], csharp, unlexed="// <> === !== := =~ !~ ** **= //= !! ?: <<~ <- |> ..< ..="),
         "c": L("c", c_comments, [r'(?:u8|[uUL])?' + DQ, CHAR], c, generic=False, extra=[include, directive], unlexed="// <> === !== ?. ?? => := =~ !~ .. ..< ..= ** **= //= !! ?: <<~ ??= <- |> :: >>>"),
         "cpp": L("cpp", c_comments, [r'R"\((?:[\s\S]*?)\)"', r'(?:u8|[uUL])?' + DQ, CHAR], cpp, extra=[include, directive], unlexed="// <> === !== ?. ?? => := =~ !~ .. ..< ..= ** **= //= !! ?: <<~ ??= <- |> >>>"),
         "go": L("go", c_comments, [DQ, r"`[^`]*`", CHAR], go, lines=True, generic=False, unlexed="// <> === !== ?. ?? => -> =~ !~ .. ..< ..= ** **= //= !! ?: <<~ ??= |> :: >>>"),
-        "rust": L("rust", c_comments, [raw, CHAR], rust, extra=[r"'[a-z_]\w*(?!')"], unlexed="// <> === !== ?. ?? := =~ !~ ** **= //= !! ?: <<~ ??= <- |> >>> ++ --"),
+        "rust": L("rust", c_comments, [raw, CHAR], rust, extra=[r"'[a-z_]\w*(?!')", r"(?<=\w)<[^<>;{}=]*\b(?:dyn |impl |Fn(?:Mut|Once)?\b)(?:->|[^<>;{}]|<[^<>;{}]*>)*>"], unlexed="// <> === !== ?. ?? := =~ !~ ** **= //= !! ?: <<~ ??= <- |> >>> ++ --"),
         "swift": L("swift", c_comments, [TRIPLE, DQ], swift, lines=True, ops="??", unlexed="// <> := =~ !~ ** **= //= !! ?: <<~ <- |> >>> ++ -- => ::"),
         "kotlin": L("kotlin", c_comments, [TRIPLE, DQ, CHAR], kotlin, lines=True, unlexed="// <> := =~ !~ ** **= //= <<~ <- |> >>> => ??"),
         "scala": L("scala", c_comments, [r'[a-z]{0,3}"""[\s\S]*?"""', r'[sfr]?' + DQ, CHAR], scala, lines=True, generic=False, unlexed="// <> =~ !~ ** **= //= <<~ ?. ?? ++ -- := >>>"),
@@ -607,59 +634,12 @@ def languages() -> dict[str, tuple[Language, "Grammar", int]]:
     out["lua"] = (defs["lua"], (g := lua_grammar()), g.ref("start"))
     for k in ("ruby", "elixir"):
         out[k] = (defs[k], (g := ended(k)), g.ref("start"))
-    pl = Python("python", [HASH], [r'[rRbBuUfF]{0,2}"""(?:[^\\]|\\[\s\S])*?"""', r"[rRbBuUfF]{0,2}'''(?:[^\\]|\\[\s\S])*?'''", "[rRbBuUfF]{0,2}" + DQ, "[rRbBuUfF]{0,2}" + SQ], py, lines=True, generic=False, unlexed="<> === !== ?. ?? => =~ !~ .. ..< ..= && || ! ++ -- <<~ <=> |> <- ||| &&& :: .= ?: !! >>>")
-    pl.rx = re.compile(pl.rx.pattern.replace(r"|\n|\S|\Z)", r"|\n[ \t\f]*|\S|\Z)"))
-    out["python"] = (pl, (g := python_grammar()), g.ref("start"))
+    out["python"] = (Python(), (g := python_grammar()), g.ref("start"))
     sh = Shell("shell", [], [], {})
     out["shell"] = (sh, (g := shell_grammar()), g.ref("start"))
     return out
 
 
-class Python(Language):
-    """Lines and indents become tokens."""
-
-    def lex(self, text: str) -> list[str]:
-        out, stack, depth = [], [""], 0
-        toks = [t for t in self.rx.findall("\n" + text.replace("\r\n", "\n").replace("\r", "\n")) if t]
-        n = len(toks)
-        for i, t in enumerate(toks):
-            if t[0] == "\n":
-                if depth or i + 1 < n and toks[i + 1][0] == "\n":
-                    continue
-                if out and out[-1] not in ("NL", "IN", "DE"):
-                    out.append("NL")
-                if i + 1 == n:
-                    continue
-                indent = t[1:]
-                if indent == stack[-1]:
-                    continue
-                if indent.startswith(stack[-1]) and len(indent) > len(stack[-1]):
-                    stack.append(indent)
-                    out.append("IN")
-                else:
-                    while len(stack) > 1 and len(stack[-1]) > len(indent):
-                        stack.pop()
-                        out.append("DE")
-                    if stack[-1] != indent:
-                        out.append("bad")
-                continue
-            k = self.known.get(t) or self.kind(t)
-            if k in ("(", "[", "{"):
-                depth += 1
-            elif k in (")", "]", "}"):
-                depth = max(0, depth - 1)
-            out.append(k)
-        if out and out[-1] not in ("NL", "DE", "IN"):
-            out.append("NL")
-        return out + ["DE"] * (len(stack) - 1)
-
-    def _kind(self, t: str) -> str:
-        if t in ("!", "$", "?", "`", "\\"):
-            return t
-        k = super()._kind(t)
-        return "~" if t == "~" else k
-
-
 class Shell(Language):
     """Words with their quotes and expansions are one token."""
 
@@ -696,27 +676,48 @@ class Shell(Language):
             return "assign_full" if not t.endswith("=") else "assign"
         return "w"
 
-    def lex(self, text: str) -> list[str]:
-        raw = [self.kind(t) for t in filter(None, self.rx.findall(re.sub(r"<<-?\s*(['\"]?)(\w+)\1([^\n]*)\n[\s\S]*?\n[ \t]*\2(?=\n|$)", r"\3", text.replace("\r\n", "\n"))))]
-        out = []
+    HERE = re.compile(r"<<-?\s*(['\"\\]?)(\w+)\1?([^\n]*)\n(?:[\s\S]*?\n)??[ \t]*\2(?=\n|$)")
+
+    def prepare(self, text: str) -> str:
+        """Documents in place count as blanks, their last line's end as that of the command."""
+        return self.HERE.sub(lambda m: " " * (m.start(3) - m.start()) + m[3] + " " * (m.end() - m.end(3)), text.replace("\r\n", " \n"))
+
+    def lex(self, text: str) -> tuple[list[str], list[int]]:
+        out, at = [], []
+        raw = [self.kind(t) for t in self.tokens(text)]
         first = True
         plain = set(self.keywords.values())
-        for k in raw:
+        for i, k in enumerate(raw):
             if k == "assign_full":
-                out += ["assign", "w"] if first or out and out[-1] in ("assign", "w") else ["w"]
+                new = ["assign", "w"] if first or out and out[-1] in ("assign", "w") else ["w"]
+                out += new
+                at += [i] * len(new)
                 first = False
                 continue
             # a reserved word counts only where a command may begin
             if k in plain and not first and not (k == "in" and len(out) >= 2) and k not in ("do", "{", "}"):
                 k = "w"
             out.append(k)
+            at.append(i)
             first = k in ("end", ";", "&", "andor", "pipe", "(", ")", "then", "else", "elif", "do", "{", "if", "while", "!", ";;", "fi", "done", "}")
-        return out
+        return out, at
 
 
-def check(language: str, text: str) -> tuple[str, int]:
-    """("", -1) for a text that its language's grammar accepts, else ("wrong", index of the token) or ("cut", number of tokens)."""
+def judge(language: str, text: str) -> tuple[str, int, int]:
+    """("", -1, -1) for a text that its language's grammar accepts, else ("wrong", number of the token, its offset) or ("cut", number of tokens, length of the text)."""
     lang, g, start = languages()[language]
-    kinds = lang.lex(text.removeprefix("﻿"))
+    body = text.removeprefix("﻿")
+    kinds, places = lang.lex(body)
     at = g.parse(start, kinds)
-    return ("", -1) if at < 0 else ("cut", at) if at == len(kinds) else ("wrong", at)
+    if at < 0:
+        return "", -1, -1
+    if at == len(kinds) or kinds[at] == "unended":
+        return "cut", at, len(text)
+    found = lang.scan(body)
+    place = found[places[at]][0] if places[at] < len(found) else len(body)
+    return "wrong", at, min(place, len(body)) + len(text) - len(body)
+
+
+def check(language: str, text: str) -> tuple[str, int]:
+    """("", -1) for a text that its language's grammar accepts, else ("wrong", number of the token) or ("cut", number of tokens)."""
+    return judge(language, text)[:2]
