@@ -21,11 +21,8 @@ def tokenize(c: Column) -> Column:
     camelCase, runs of capitals, ``_ - . / \\`` and white space part words; other punctuation stays. Words of one character
     and stopwords are left out.
     """
-    c = F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
-    c = F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    c = F.lower(F.regexp_replace(c, r"[_\-./\\]", " "))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(c, r"\s+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    parts = F.split(c, r"[_\-./\\\s]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+    return F.filter(F.transform(parts, F.lower), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
 
 
 def tokenize_text(text: str) -> list[str]:
@@ -48,6 +45,22 @@ def fuzzy(a: Column, b: Column, threshold: float) -> Column:
     return F.when((la == 0) | (lb == 0), F.lit(False)).when(near, similarity(a, b) >= threshold).otherwise(F.lit(False))
 
 
+def edits_within(word: str, threshold: float) -> int:
+    """The most edits by which a string may differ from ``word`` and still be similar to ``threshold``: the longer it is, the more."""
+    longest = int(len(word) / threshold + 1e-9)
+    return int((1 - threshold) * longest + 1e-9)
+
+
+def may_hold(text: Column, word: str, threshold: float = 1.0) -> Column:
+    """Whether ``text`` could hold a token as similar to ``word``: of so many edits and one more pieces of the word, one is left whole."""
+    word, k = word.lower(), edits_within(word, threshold)
+    cuts = [len(word) * i // (k + 1) for i in range(k + 2)]
+    low, found = F.lower(text), F.lit(False)
+    for a, b in zip(cuts, cuts[1:]):
+        found = found | F.contains(low, F.lit(word[a:b]))
+    return F.coalesce(found, F.lit(False))
+
+
 def expand(token: str) -> list[str]:
     """What a query token stands for: itself first, then its expansions."""
     return [token, *EXPANSIONS.get(token.lower(), "").split()]

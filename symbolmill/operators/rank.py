@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolmill.functions.text import estimate_tokens, expand, fuzzy, similarity, tokenize, tokenize_text
+from symbolmill.functions.text import edits_within, estimate_tokens, expand, fuzzy, may_hold, similarity, tokenize, tokenize_text
 
 K1, B = 1.5, 0.75
 ORDER = ("file_path", "ordinal", "symbol_id")
@@ -18,9 +18,19 @@ def _is(x: str):
 
 
 def _like(x: str, threshold: float):
+    if not edits_within(x, threshold):
+        return lambda t: t == x
     return lambda t: (t == x) | fuzzy(F.lit(x), t, threshold)
 
 
+def _tokens_near(column: str, words: list[str], threshold: float = 1.0) -> Column:
+    """Tokens of a column; empty where its text cannot hold one like any of ``words``, so that most texts are never cut up."""
+    may = F.lit(False)
+    for x in dict.fromkeys(words):
+        may = may | may_hold(F.col(column), x, threshold)
+    return F.when(may, _empty_safe(tokenize(F.col(column)))).otherwise(F.array().cast("array<string>"))
+
+
 def _holds(x: str):
     return lambda y: F.contains(F.lower(y), F.lit(x))
 
@@ -96,7 +106,7 @@ def search(symbols: DataFrame, query: str, limit: int | None = 20, code: bool =
     stats = name_statistics(symbols, sorted(set(q)))
     base = symbols.select(
         "symbol_id", "name", "type", "file_path", "ordinal", "code",
-        _empty_safe(tokenize(F.col("name"))).alias("_name"), _empty_safe(tokenize(F.col("code"))).alias("_code"), _empty_safe(tokenize(F.col("doc_comment"))).alias("_doc"), _empty_safe(tokenize(F.col("signature"))).alias("_sig"),
+        _empty_safe(tokenize(F.col("name"))).alias("_name"), _tokens_near("code", q, 0.85).alias("_code"), _tokens_near("doc_comment", q).alias("_doc"), _tokens_near("signature", q).alias("_sig"),
     ).withColumn("_bm25", bm25(F.col("_name"), q, *stats))
     signals = _signals(query, stats, code, comments, fuzzy_name)
     total = signals[0][0]
