@@ -8,7 +8,7 @@ OUT, BEGIN, IN = 0, 1, 2
 LABELS = 3
 
 
-def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]], rounds: int = 90, rate: float = 0.5, decay: float = 1e-5) -> dict:
+def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-5) -> dict:
     """Weights by feature name and transitions, from feature lists and labels of each token of each line.
 
     The likelihood's gradient comes from scaled forward and backward sums over all lines at once; steps are Adam's.
