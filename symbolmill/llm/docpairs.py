@@ -1,10 +1,14 @@
 """Functions paired with the prose of their documentation.
 
-A symbol's raw comment and its code are lexed into tokens, the tokens become rows, and windows over them do the rest: a
-running sum of brackets gives each token's depth, a running count of zone marks tells comment from code, islands of comment
-tokens are numbered by the running count of what interrupts them, and lags attach the island above to the function's first
-token and the string after the signature's colon to its body. All steps are built-in expressions; after symbols are brought
-together by id once, the windows need no further shuffle.
+A symbol's raw comment and its whole code are lexed into tokens, the tokens become rows, and windows over them do the rest:
+
+* a running sum of brackets gives each token's depth; the first bracket or colon at depth 0 behind the head's parentheses opens the body, and
+  the function ends where the depth comes back to 0 behind it,
+* runs of comment tokens are islands, numbered by the running count of the tokens that interrupt them, and each island is one piece
+  of text,
+* lags attach to the function what stands above it, and to its body the string that opens it.
+
+All steps are built-in expressions; after symbols are brought together by id once, windows and groupings need no further shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +28,6 @@ TOKENS = (
     + "|" + STRINGS
     + r"|[(\[{]|[)\]}]|:\s*(?:" + STRINGS + r")|:"
 )
-#: A code without this has no string that could open a body.
-OPENING = r":\s*[rRuUbBfF]{0,2}[\"']"
 COMMENT, STRING, OPEN, CLOSE = r"^(?:/\*|//|#|--)", r"^[rRuUbBfF]{0,2}[\"']", r"^[(\[{]$", r"^[)\]}]$"
 WORDS = r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lo}{2}|\d+"
 #: Words that say nothing by themselves.
@@ -64,17 +66,14 @@ def prose_of(doc: Column, name: Column) -> Column:
     return F.filter(lines_of(doc), tells)
 
 
-def documentation(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, name, doc): each function that may have documentation once, with its raw text, null if it proves to have none.
+def lexed(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, name, pos, tok, kind, zone, depth, island, before, colons) of the tokens of each function, its latest delivery.
 
-    The documentation is every comment of ``doc_comment`` (or its string, where the comment is an attribute), and in code
-    whose signature ends in a colon the string that opens the body. Null names, comments and codes are empty; a symbol delivered again
-    counts once, its latest delivery. Extra columns are ignored.
+    ``zone`` is 0 in the comment above and 1 in the code; ``depth`` counts open brackets behind the token, ``island`` numbers runs of
+    comments, ``before`` is the kind of the token before, ``colons`` counts those at depth 0.
     """
-    # where no string can open the body, its tokens decide nothing; without a comment too, there is no documentation
-    code = F.when(F.col("code").rlike(OPENING), F.col("code"))
-    some = symbols.filter("type = 'function' and symbol_id is not null").select("symbol_id", "name", "doc_comment", code.alias("code"), "indexed_at")
-    once = latest(some.filter("doc_comment is not null or code is not null"), "symbol_id")
+    some = symbols.filter("type = 'function' and symbol_id is not null").select("symbol_id", "name", "doc_comment", "code", "indexed_at")
+    once = latest(some, "symbol_id")
     text = F.concat(F.coalesce("doc_comment", F.lit("")), F.lit("\n" + MARK + "\n"), F.coalesce("code", F.lit("")))
     tokens = once.select("symbol_id", "name", F.posexplode(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))).alias("pos", "tok"))
     t = F.col("tok")
@@ -88,27 +87,39 @@ def documentation(symbols: DataFrame) -> DataFrame:
         "symbol_id", "name", "pos", "tok", "kind",
         F.sum(F.when(F.col("kind") == "mark", 1).otherwise(0)).over(running).alias("zone"),
         F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(running).alias("depth"),
-        # an island is a run of comment tokens: what interrupts it raises the number
+        # what interrupts a run of comments raises the number of the next
         F.sum(F.when(F.col("kind") == "comment", 0).otherwise(1)).over(running).alias("island"),
         F.lag("kind", 1, "mark").over(w).alias("before"),
     )
-    rows = rows.withColumn("colons", F.sum(F.when(F.col("kind").isin("colon", "opening") & (F.col("depth") == 0) & (F.col("zone") == 1), 1).otherwise(0)).over(running))
+    return rows.withColumn("colons", F.sum(F.when(F.col("kind").isin("colon", "opening") & (F.col("depth") == 0) & (F.col("zone") == 1), 1).otherwise(0)).over(running))
+
+
+def documentation(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, name, doc, closed) of each function once: its raw documentation, null if it has none, and whether its brackets close.
+
+    The documentation is every island of comments above the function (or a string there, where the comment is an attribute), and
+    in code whose signature ends in a colon the string that opens the body. Null names, comments and codes are empty; a symbol delivered
+    again counts once, its latest delivery. Extra columns are ignored.
+    """
     above = (F.col("zone") == 0) & F.col("kind").isin("comment", "string")
     opening = (F.col("zone") == 1) & (F.col("kind") == "opening") & F.col("before").isin("close", "string") & (F.col("depth") == 0) & (F.col("colons") == 1)
-    docs = rows.withColumn("part", F.when(above | opening, F.struct("pos", "island", F.regexp_replace("tok", r"^:\s*", "").alias("tok"))))
-    return docs.groupBy("symbol_id").agg(
-        F.first("name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["tok"]), "\n").alias("doc")
+    rows = lexed(symbols).withColumn("piece", F.when(above | opening, F.struct("pos", F.regexp_replace("tok", r"^:\s*", "").alias("tok"))))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["tok"]), "\n")
+    islands = rows.groupBy("symbol_id", F.when(F.col("piece").isNotNull(), F.col("island")).alias("island")).agg(F.first("name").alias("name"), said.alias("text"), F.max_by("depth", "pos").alias("depth"), F.max("pos").alias("last"))
+    part = F.when(F.col("text") != "", F.struct("island", "text"))
+    return islands.groupBy("symbol_id").agg(
+        F.first("name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n").alias("doc"), (F.max_by("depth", "last") == 0).alias("closed")
     ).withColumn("doc", F.when(F.col("doc") != "", F.col("doc")))
 
 
 def documented(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, name, prose): the functions whose documentation tells something of use, with the lines that do."""
-    return documentation(symbols).select("symbol_id", "name", prose_of(F.coalesce("doc", F.lit("")), F.col("name")).alias("lines")).filter("size(lines) > 0").select(
-        "symbol_id", "name", F.array_join("lines", "\n").alias("prose")
+    """(symbol_id, name, closed, prose): the functions whose documentation tells something of use, with the lines that do."""
+    return documentation(symbols).select("symbol_id", "name", "closed", prose_of(F.coalesce("doc", F.lit("")), F.col("name")).alias("lines")).filter("size(lines) > 0").select(
+        "symbol_id", "name", "closed", F.array_join("lines", "\n").alias("prose")
     )
 
 
-def pairs(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, name, signature, code, prose) of each documented function."""
-    code = latest(symbols.filter("type = 'function'").select("symbol_id", "signature", "code", "indexed_at"), "symbol_id").drop("indexed_at")
-    return documented(symbols).join(code, "symbol_id").select("symbol_id", "name", "signature", "code", "prose")
+def pairs(rows: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(symbol_id, name, signature, code, closed, prose) of each documented function. ``symbols`` may hold ``rows`` once per symbol; where it is left out that is done here."""
+    once = symbols if symbols is not None else latest(rows.filter("type = 'function'"), "symbol_id")
+    return documented(rows).join(once.select("symbol_id", "signature", "code"), "symbol_id").select("symbol_id", "name", "signature", "code", "closed", "prose")

@@ -1,4 +1,4 @@
-from symbolmill.llm.docpairs import documented, pairs
+from symbolmill.llm.docpairs import documentation, documented, lexed, pairs
 
 ROWS = [
     (1, "loadQueue", "/**\n * Load queue, but never a raw index.\n * @param a the ordering to use\n */", "function loadQueue(a) { return a }"),
@@ -30,3 +30,17 @@ def test_documented(spark):
     p = {r["symbol_id"]: r for r in pairs(df).collect()}
     assert p[3]["prose"] == "Retries with half the voice." and p[3]["signature"] == "s"
     assert documented(df.filter("false")).count() == 0
+
+
+def test_islands_and_depth(spark):
+    """Comments above are grouped by what interrupts them, in any language; brackets in strings and comments do not count, and an open one shows."""
+    rows = [
+        (1, "f", "// Waits until the sprite settles,\n// then answers.\n@Deprecated(1)\n// Never blocks the harbor.", "void f() { g(\"}\"); /* } */ }"), (2, "f", "# Trims idle depots first.", "def f(a)\n  { b: [1] }\nend"),
+        (3, "f", "-- Moves all voices along.", "function f(a)\n  return { a, { 1 }\nend"), (4, "f", None, "fn f() -> T { (1) }"),
+    ]
+    df = spark.createDataFrame([(i, n, d, c, "function", None) for i, n, d, c in rows], "symbol_id bigint, name string, doc_comment string, code string, type string, indexed_at timestamp")
+    got = {r["symbol_id"]: r for r in documentation(df).collect()}
+    assert got[1]["doc"] == "// Waits until the sprite settles,\n// then answers.\n// Never blocks the harbor." and [got[i]["closed"] for i in (1, 2, 3, 4)] == [True, True, False, True] and got[4]["doc"] is None
+    islands = {r["island"] for r in lexed(df).filter("symbol_id = 1 and kind = 'comment' and zone = 0").collect()}
+    assert len(islands) == 2
+    assert lexed(df).filter("zone = 1 and kind <> 'mark'").select("symbol_id").distinct().count() == 4
