@@ -146,7 +146,14 @@ class Index:
             return self.spark.createDataFrame(rows, stats.schema)
         return stats
 
-    def track(self, call_id: int, tool: str, response: str, files: list[str]) -> None:
+    def get_savings(self) -> DataFrame:
+        """Per tool: calls, tokens answered, files touched first by it, what reading them whole would have cost, and the tokens saved."""
+        return usage.savings(self.spark.read.parquet(f"{self.store}/usage"), self.table("files"))
+
+    def track(self, call_id: int, tool: str, response: str, files: list[str] | None = None) -> None:
+        """Account for one call; where ``files`` are not given they are those that the response names."""
+        if files is None:
+            files = self.spark.createDataFrame([(response,)], "text string").select(usage.response_paths(F.col("text"))).first()[0]
         row = [(call_id, datetime.now(), tool, len(response), -(-len(response) // 4), files, datetime.now())]
         self.spark.createDataFrame(row, "call_id bigint, ts timestamp, tool string, response_chars bigint, tokens bigint, files array<string>, arrived_at timestamp").write.mode("append").parquet(f"{self.store}/usage")
 
@@ -162,21 +169,32 @@ class Index:
         parsed = self.table("parsed").join(gone, "file_id", "left_anti").unionByName(extract.parse_files(new))
         return self._save(incremental.merge(self.table("sources"), once, new), parsed)
 
-    def build_dependency_graph(self, words_only: bool = True) -> int:
+    def build_dependency_graph(self, words_only: bool = True, imports: bool = False) -> int:
+        """Write reference edges (names that code mentions as whole words, or without ``words_only`` contains anywhere) and, if asked for, import edges, which are all pairs of symbols of the two files; returns their number."""
         symbols = self.table("symbols")
         edges = graph.expand_edges(graph.reference_edges(symbols, words_only), symbols).withColumn("kind", F.lit("reference"))
+        if imports:
+            links = graph.import_links(self.table("files"))
+            edges = edges.unionByName(graph.expand_imports(links, symbols).withColumn("kind", F.lit("import")))
         target = f"{self.store}/{self._version()}/edges"
         edges.write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target).count()
 
     def get_dependency_tree(self, symbol: str, max_depth: int = 2) -> DataFrame:
         roots = self.table("symbols").filter(F.col("name") == symbol).orderBy("file_path", "ordinal").limit(1).select(graph.symbol_key().alias("node"))
-        return graph.bfs(self.table("edges"), roots, max_depth).orderBy("depth", "node")
+        return graph.tree(self.table("edges"), roots, max_depth).orderBy("depth", "parent", "node")
 
     def get_function_with_context(self, name: str) -> DataFrame:
+        """Number and tokens of the function's direct dependencies; ``get_context_rows`` has their texts."""
         roots = self.table("symbols").filter((F.col("name") == name) & (F.col("type") == "function")).select(graph.symbol_key().alias("src"))
         return graph.smart_context(self.table("edges").join(roots, "src", "left_semi"), self.table("symbols"))
 
+    def get_context_rows(self, name: str) -> DataFrame:
+        """The function's code and the signatures of its direct dependencies, with tokens; the code comes first."""
+        roots = self.table("symbols").filter((F.col("name") == name) & (F.col("type") == "function")).select(graph.symbol_key().alias("src"))
+        rows = graph.context_rows(self.table("edges").join(roots, "src", "left_semi"), self.table("symbols"))
+        return rows.join(roots, "src", "left_semi").orderBy("src", F.col("role") != "code", "key")
+
     # 17-21: references, edits, related
 
     def find_symbol_references(self, symbol: str, shown: int = 10) -> DataFrame:

@@ -78,8 +78,13 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
-    """B, KB or MB, the latter two with one decimal; null for null."""
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, F.format_string("%.1f KB", c / 1024)).otherwise(F.when(c.isNotNull(), F.format_string("%.1f MB", c / 1048576)))
+    """B, KB or MB, the latter two with one decimal, halves rounded up; null for null."""
+
+    def tenths(unit: int) -> Column:
+        n = F.floor(c * 10 / unit + 0.5).cast("bigint")
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, F.concat(tenths(1024), F.lit(" KB"))).otherwise(F.when(c.isNotNull(), F.concat(tenths(1048576), F.lit(" MB"))))
 
 
 def normalize_path(c: Column, root: str = "") -> Column:

@@ -21,15 +21,15 @@ def names_in_words(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word, name): each distinct name that is a substring of a distinct word.
 
     A name of word characters can occur in code only inside one run of word characters, so containment in code is
-    containment in one of its words. Every substring of a word becomes a row and names join by equality: work grows with the
-    distinct words, not with words times names.
+    containment in one of its words. Every substring of a word, of a length that some name has, becomes a row and names join by
+    equality: work grows with the distinct words, not with words times names.
     """
-    lengths = names.agg(F.min(F.length("name")).alias("a"), F.max(F.length("name")).alias("b")).first()
-    if lengths["a"] is None:
+    # one number for each length that a name has: as many at most as the longest name has characters
+    lengths = sorted(n for n in names.agg(F.collect_set(F.length("name"))).first()[0] if n)
+    if not lengths:
         return words.select("word", F.lit("").alias("name")).filter("false")
-    a, b = max(lengths["a"], 1), lengths["b"]
-    sizes = F.expr(f"filter(sequence({a}, {b}), n -> n <= length(word))")
-    sized = words.filter(F.length("word") >= a).select("word", F.explode(sizes).alias("n"))
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("word"))
+    sized = words.filter(F.length("word") >= lengths[0]).select("word", F.explode(sizes).alias("n"))
     parts = sized.select("word", F.explode(F.expr("transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n))")).alias("name"))
     return parts.join(names, "name").distinct()
 
@@ -68,6 +68,35 @@ def import_edges(files: DataFrame) -> DataFrame:
     return imports.join(found, "name").join(paths.withColumnRenamed("file_id", "target_id"), "word").select("file_id", "import", "target_id").distinct()
 
 
+def import_links(files: DataFrame) -> DataFrame:
+    """(src_path, dst_path): which files' paths each file's imports lead to, once each. Symbol edges are kept in this form, since they are all pairs of symbols of the two files."""
+    by_id = import_edges(files)
+    path = files.filter("path is not null").select("file_id", "path").distinct()
+    return by_id.join(path.select("file_id", F.col("path").alias("src_path")), "file_id").join(path.select(F.col("file_id").alias("target_id"), F.col("path").alias("dst_path")), "target_id").select("src_path", "dst_path").distinct()
+
+
+def expand_imports(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst) of the symbols of linked files: every symbol of the importing file depends on every one of the imported."""
+    ends = symbols.select("file_path", symbol_key().alias("key")).distinct()
+    return links.join(ends.select(F.col("file_path").alias("src_path"), F.col("key").alias("src")), "src_path").join(ends.select(F.col("file_path").alias("dst_path"), F.col("key").alias("dst")), "dst_path").select("src", "dst").distinct()
+
+
+def import_degrees(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dependencies): how many symbols each symbol depends on through its file's imports, without laying the edges out."""
+    ends = symbols.select("file_path", symbol_key().alias("key")).distinct()
+    sizes = ends.groupBy(F.col("file_path").alias("dst_path")).agg(F.count("*").alias("n"))
+    per_file = links.join(sizes, "dst_path").groupBy("src_path").agg(F.sum("n").alias("dependencies"))
+    return ends.join(per_file, ends["file_path"] == per_file["src_path"]).select(F.col("key").alias("src"), "dependencies")
+
+
+def tree(edges: DataFrame, roots: DataFrame, levels: int = 2) -> DataFrame:
+    """(root, node, depth, parent): ``bfs`` with the least of the nodes one level up that lead to each; a root has no parent."""
+    reached = cut(bfs(edges, roots, levels))
+    up = reached.select("root", F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    parents = up.join(distinct_edges(edges), "src").groupBy("root", F.col("dst").alias("node"), "depth").agg(F.min("src").alias("parent"))
+    return reached.join(parents, ["root", "node", "depth"], "left").select("root", "node", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"))
+
+
 def bfs(edges: DataFrame, roots: DataFrame, levels: int = 2) -> DataFrame:
     """(root, node, depth): nodes within ``levels`` levels of each root (the root itself is level 1, depth 0), at their least depth.
 
@@ -90,6 +119,19 @@ def by_file(reached: DataFrame) -> DataFrame:
     return reached.groupBy("root", path.alias("file_path")).agg(F.count("*").alias("nodes"))
 
 
+def context_rows(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, role, key, text, tokens): each symbol's code (role code), and the signature, or code where there is none, of each of its direct dependencies (role dependency).
+
+    Symbols without edges have their code alone; nulls count as empty texts. Of symbols with equal keys the least text counts.
+    """
+    text = F.when(F.col("type").isin("function", "class") & F.col("signature").isNotNull(), F.col("signature")).otherwise(F.coalesce("code", F.lit("")))
+    one = symbols.select(symbol_key().alias("key"), F.coalesce("code", F.lit("")).alias("code"), text.alias("text")).groupBy("key").agg(F.min("code").alias("code"), F.min("text").alias("text"))
+    own = one.select(F.col("key").alias("src"), F.lit("code").alias("role"), "key", F.col("code").alias("text"))
+    deps = distinct_edges(edges).filter("src <> dst").join(one.select("key"), F.col("src") == F.col("key"), "left_semi").join(one.select(F.col("key").alias("dst"), "text"), "dst")
+    rows = own.unionByName(deps.select("src", F.lit("dependency").alias("role"), F.col("dst").alias("key"), "text"))
+    return rows.withColumn("tokens", estimate_tokens(F.col("text")))
+
+
 def smart_context(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, dependencies, tokens): direct dependencies of each symbol, without itself, and the tokens of its code and their signatures.
 

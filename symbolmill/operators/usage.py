@@ -1,8 +1,10 @@
 """Accounting of tool calls."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symbolmill.functions.text import normalize_path
+
 #: Calls that are not accounted.
 EXCLUDED = ("get_usage_stats", "clear_cache", "index_repository")
 
@@ -31,3 +33,21 @@ def first_touch(log: DataFrame, files: DataFrame) -> DataFrame:
     first = touched.groupBy("path").agg(F.min_by("tool", F.struct(F.col("ts").isNull(), "ts", "call_id")).alias("tool"))
     cost = files.groupBy("path").agg(F.ceil(F.max("size") / 4).cast("bigint").alias("cost"))
     return first.join(cost, "path", "left").groupBy("tool").agg(F.count("*").alias("files"), F.coalesce(F.sum("cost"), F.lit(0)).alias("full_read_tokens"))
+
+
+def savings(log: DataFrame, files: DataFrame) -> DataFrame:
+    """(tool, calls, total_tokens, files, full_read_tokens, saved): per tool what was answered, the files first touched by it, what reading them whole would have cost, and the difference, at least 0."""
+    both = usage_stats(log).join(first_touch(log, files), "tool", "left")
+    full = F.coalesce("full_read_tokens", F.lit(0))
+    return both.select("tool", "calls", "total_tokens", F.coalesce("files", F.lit(0)).alias("files"), full.alias("full_read_tokens"), F.greatest(full - F.col("total_tokens"), F.lit(0)).alias("saved"))
+
+
+#: Where answers name files, the path being the first group.
+PATH_FORMS = (r"(?m)File:\s*([^\n:]+?)(?::\d+)?$", r"(?m)^\s+([a-zA-Z][\w/\\.-]+\.\w+):\d+", r'"filePath":\s*"([^"]+)"', r'"file":\s*"([^"]+)"')
+
+
+def response_paths(text: Column) -> Column:
+    """The distinct paths that an answer names: without blanks inside, with a dot, slashes forward, without a leading ``./`` or slash; null for null."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PATH_FORMS])
+    trimmed = F.transform(found, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.transform(F.filter(trimmed, lambda p: (p != "") & ~F.contains(p, F.lit(" ")) & F.contains(p, F.lit("."))), lambda p: normalize_path(p)))

@@ -230,6 +230,15 @@ def _context_sql() -> str:
     SELECT file_id, line::INT AS line, context, (100 + {bonus} + {words})::INT AS score FROM c"""
 
 
+def _scores_sql() -> str:
+    words = " + ".join(f"CASE WHEN list_contains({tok('context')}, '{t}') THEN 10 ELSE 0 END" for t in tokenize_text(PATTERN)) or "0"
+    bonus = "CASE WHEN contains(text, 'function') OR contains(text, 'class') OR contains(text, 'def ') OR contains(text, 'func ') THEN 50 ELSE 0 END"
+    line = "CASE WHEN i = line THEN '> ' ELSE '  ' END || i || ': ' || l[i]"
+    return f"""WITH {F_}, a AS (SELECT file_id, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL AND regexp_matches(content, '(?i){PATTERN}')), b AS (SELECT file_id, l, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM a),
+    c AS (SELECT file_id, line, text, array_to_string(list_transform(range(greatest(line - 2, 1), least(line + 3, len(l)) + 1), lambda i: {line}), chr(10)) AS context FROM b WHERE regexp_matches(text, '(?i){PATTERN}'))
+    SELECT file_id, line::INT AS line, array_to_string(regexp_extract_all(text, '(?i){PATTERN}'), ', ') AS matched_text, (100 + {bonus} + {words})::INT AS score FROM c"""
+
+
 @query("pattern_context", _context_sql())
 def pattern_context(spark, d):
     """The first ten hits of a pattern with their contexts, ranked."""
@@ -298,9 +307,14 @@ def formatted_bytes(spark, d):
     return paths(spark, d).filter("abs((size / 102.4) % 1 - 0.5) > 0.001").select("file_id", format_bytes(F.col("size")).alias("text"))
 
 
-@query("format_bytes_all")
+def _tenths_sql(unit: int) -> str:
+    n = f"floor(size * 10 / {unit} + 0.5)::BIGINT"
+    return f"({n}) // 10 || '.' || ({n}) % 10"
+
+
+@query("format_bytes_all", f"WITH {F_} SELECT file_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {_tenths_sql(1024)} || ' KB' WHEN size IS NOT NULL THEN {_tenths_sql(1048576)} || ' MB' END AS text FROM f")
 def formatted_bytes_all(spark, d):
-    """Every file's size as text: decimals on a half are rounded up, null for null. Without SQL, since engines round halves differently."""
+    """Every file's size as text: decimals on a half are rounded up, null for null."""
     return paths(spark, d).select("file_id", format_bytes(F.col("size")).alias("text"))
 
 
@@ -351,6 +365,22 @@ def import_edges(spark, d):
     return graph.import_edges(paths(spark, d))
 
 
+_LINKS = rf"""i AS (SELECT DISTINCT path AS src_path, unnest(imports) AS import FROM f), c AS (SELECT src_path, regexp_replace(regexp_replace(import, '^[''\"]|[''\"]$', '', 'g'), '^\./', '') AS name FROM i WHERE src_path IS NOT NULL),
+ links AS (SELECT DISTINCT c.src_path, f.path AS dst_path FROM c JOIN f ON contains(f.path, c.name) WHERE c.name <> ''), k AS (SELECT DISTINCT file_path, {_KEY} AS key FROM s), z AS (SELECT file_path, count(*) AS n FROM k WHERE file_path IS NOT NULL GROUP BY 1)"""
+
+
+@query("import_links", f"WITH {F_}, {S_}, {_LINKS} SELECT src_path, dst_path FROM links")
+def import_links(spark, d):
+    """Paths that each file's imports lead to: the symbol edges of imports, kept by file."""
+    return graph.import_links(paths(spark, d))
+
+
+@query("import_degrees", f"WITH {F_}, {S_}, {_LINKS}, p AS (SELECT src_path, sum(n)::BIGINT AS dependencies FROM links JOIN z ON z.file_path = links.dst_path GROUP BY 1) SELECT key AS src, dependencies FROM k JOIN p ON k.file_path = p.src_path")
+def import_degrees(spark, d):
+    """How many symbols each symbol depends on through its file's imports."""
+    return graph.import_degrees(graph.import_links(paths(spark, d)), names(spark, d))
+
+
 def _roots(spark, d):
     return names(spark, d).filter("symbol_id % 20 = 0").select(graph.symbol_key().alias("node")).distinct()
 
@@ -371,6 +401,26 @@ def dependency_by_file(spark, d):
     return graph.by_file(graph.bfs(table(spark, d, "edges"), _roots(spark, d), 3))
 
 
+@query(
+    "dependency_tree",
+    _BFS + ", u AS (SELECT b.root, e.dst AS node, b.depth + 1 AS depth, min(b.node) AS parent FROM b JOIN e ON e.src = b.node GROUP BY 1, 2, 3) SELECT b.root, b.node, b.depth, CASE WHEN b.depth > 0 THEN u.parent END AS parent FROM b LEFT JOIN u ON u.root = b.root AND u.node = b.node AND u.depth = b.depth",
+)
+def dependency_tree(spark, d):
+    """The same walk as a tree: each node under the least node that leads to it."""
+    return graph.tree(table(spark, d, "edges"), _roots(spark, d), 3)
+
+
+@query(
+    "context_rows",
+    f"""WITH {S_}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), o AS (SELECT {_KEY} AS key, min(coalesce(code, '')) AS code,
+      min(CASE WHEN type IN ('function', 'class') AND signature IS NOT NULL THEN signature ELSE coalesce(code, '') END) AS text FROM s GROUP BY 1),
+    r AS (SELECT key AS src, 'code' AS role, key, code AS text FROM o UNION ALL SELECT e.src, 'dependency', e.dst, o.text FROM e JOIN o ON o.key = e.dst WHERE e.src IN (SELECT key FROM o)) SELECT src, role, key, md5(text) AS text_md5, ceil(length(text) / 4)::BIGINT AS tokens FROM r""",
+)
+def context_rows(spark, d):
+    """Each symbol's code and the signatures of its direct dependencies."""
+    return graph.context_rows(table(spark, d, "edges"), symbols(spark, d)).select("src", "role", "key", F.md5("text").alias("text_md5"), "tokens")
+
+
 @query(
     "smart_context",
     f"""WITH {S_}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst), o AS (SELECT {_KEY} AS key, max(ceil(coalesce(length(code), 0) / 4)) AS own,
@@ -497,10 +547,40 @@ def first_touch(spark, d):
     return usage.first_touch(table(spark, d, "usage_log"), paths(spark, d))
 
 
-def _splice_sql(mode: str) -> str:
+@query(
+    "usage_savings",
+    f"""WITH {F_}, {_CALLS}, t AS (SELECT DISTINCT call_id, ts, tool, unnest(files) AS path FROM u), a AS (SELECT path, tool FROM t WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts ASC NULLS LAST, call_id) = 1),
+    k AS (SELECT path, ceil(max(size) / 4)::BIGINT AS cost FROM f GROUP BY path), o AS (SELECT tool, count(*) AS files, coalesce(sum(cost), 0)::BIGINT AS full_read_tokens FROM a LEFT JOIN k USING (path) GROUP BY tool),
+    st AS (SELECT tool, {_STATS} GROUP BY tool) SELECT st.tool, calls, total_tokens, coalesce(files, 0)::BIGINT AS files, coalesce(full_read_tokens, 0)::BIGINT AS full_read_tokens, greatest(coalesce(full_read_tokens, 0) - total_tokens, 0)::BIGINT AS saved FROM st LEFT JOIN o ON o.tool = st.tool""",
+)
+def usage_savings(spark, d):
+    """Per tool: what was answered, the files it touched first, and what reading those whole would have cost."""
+    return usage.savings(table(spark, d, "usage_log"), paths(spark, d))
+
+
+def _paths_sql() -> str:
+    found = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in usage.PATH_FORMS)
+    return rf"""WITH p AS (SELECT DISTINCT doc_id, trim(unnest(flatten([{found}])), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT doc_id, regexp_replace(replace(p, '\', '/'), '^(\./)+|^/+', '') AS path FROM p WHERE p <> '' AND NOT contains(p, ' ') AND contains(p, '.')"""
+
+
+@query("response_paths", _paths_sql())
+def response_paths(spark, d):
+    """The files that each document names in the forms of an answer."""
+    docs = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    return docs.select("doc_id", F.explode(usage.response_paths(F.col("text"))).alias("path")).distinct()
+
+
+@query("pattern_scores", _scores_sql())
+def pattern_scores(spark, d):
+    """Every line that matches a pattern with the operator's own score: what the line defines, and the pattern's words around it."""
+    return patterns.search_patterns(files(spark, d), PATTERN).select("file_id", "line", "matched_text", "score")
+
+
+def _splice_sql(mode: str, wanted: str) -> str:
     head = {"insert": "end_line", "replace": "line - 1", "delete": "line - 1"}[mode]
     middle = "" if mode == "delete" else "['x = 1', ''], "
-    return f"WITH {F_}, {S_}, p AS (SELECT symbol_id, line, end_line, string_split(content, chr(10)) AS l FROM s JOIN f USING (file_id) WHERE symbol_id % 20 = 0 AND content IS NOT NULL) SELECT symbol_id, md5(array_to_string(flatten([list_slice(l, 1, {head}), {middle}list_slice(l, end_line + 1, len(l))]), chr(10))) AS content_md5 FROM p"
+    return f"WITH {F_}, {S_}, p AS (SELECT symbol_id, line, end_line, string_split(content, chr(10)) AS l FROM s JOIN f USING (file_id) WHERE {wanted} AND content IS NOT NULL) SELECT symbol_id, md5(array_to_string(flatten([list_slice(l, 1, {head}), {middle}list_slice(l, end_line + 1, len(l))]), chr(10))) AS content_md5 FROM p"
 
 
 def _splice(mode: str, wanted: str):
@@ -514,8 +594,8 @@ def _splice(mode: str, wanted: str):
 
 
 for _mode in ("insert", "replace", "delete"):
-    query(f"splice_{_mode}", _splice_sql(_mode))(_splice(_mode, "symbol_id % 20 = 0"))
-    query(f"splice_{_mode}_all")(_splice(_mode, "true"))
+    for _key, _wanted in ((f"splice_{_mode}", "symbol_id % 20 = 0"), (f"splice_{_mode}_all", "true")):
+        query(_key, _splice_sql(_mode, _wanted))(_splice(_mode, _wanted))
 
 
 @query("parse_symbols")

@@ -1,5 +1,6 @@
 """Reading the engine's tables and cutting lineage in storage that every executor shares."""
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -50,9 +51,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/symbolmill-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Remove the folders that ``cut`` wrote; frames that read them are of no use any more. Called when the driver's process ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001 - the session has ended and its files are left to the folder's owner
+            return
+
+
+atexit.register(release)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors. ``release`` removes them."""
     path = shared_dir(df.sparkSession)
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolmill.functions import text as T
+from symbolmill.functions.text import format_bytes, fuzzy, may_hold
 from symbolmill.operators import edits, graph, incremental, patterns, rank, structure, usage
 
 SYMBOL = "symbol_id bigint, name string, type string, file_path string, ordinal int, line int, end_line int, code string, signature string, doc_comment string"
@@ -178,3 +180,53 @@ def test_splices_and_sizes_of_all_rows(spark, tmp_path):
         return f"{(Decimal(n) / by).quantize(Decimal('0.1'), ROUND_HALF_UP)} {unit}"
 
     assert {r["file_id"]: r["text"] for r in queries["format_bytes_all"](spark, str(tmp_path)).collect()} == {i: text(n) for i, n in enumerate(sizes)}
+
+
+def test_trees_imports_and_context(spark):
+    edges = spark.createDataFrame([("r", "a", "x"), ("r", "b", None), ("a", "c", "x"), ("b", "c", "x"), ("c", "r", "x"), ("a", None, "x")], "src string, dst string, kind string")
+    roots = spark.createDataFrame([("r",)], "node string")
+    assert sorted((x["node"], x["depth"], x["parent"]) for x in graph.tree(edges, roots, 3).collect()) == [("a", 1, "r"), ("b", 1, "r"), ("c", 2, "a"), ("r", 0, None)]
+    files = spark.createDataFrame([(1, "src/a.ts", ["./b", None]), (2, "lib/b.ts", []), (3, None, ["'./b'"])], "file_id bigint, path string, imports array<string>")
+    symbols = spark.createDataFrame([("src/a.ts", "f", 1, "function", "f()", "b()"), ("lib/b.ts", "b", 1, "function", None, "xy"), ("lib/b.ts", "c", 4, "variable", "s", None)], "file_path string, name string, line int, type string, signature string, code string")
+    links = graph.import_links(files)
+    assert [tuple(x) for x in links.collect()] == [("src/a.ts", "lib/b.ts")]
+    assert sorted(tuple(x) for x in graph.expand_imports(links, symbols).collect()) == [("src/a.ts:f:1", "lib/b.ts:b:1"), ("src/a.ts:f:1", "lib/b.ts:c:4")]
+    assert [tuple(x) for x in graph.import_degrees(links, symbols).collect()] == [("src/a.ts:f:1", 2)]
+    e = spark.createDataFrame([("src/a.ts:f:1", "lib/b.ts:b:1")] * 2 + [("src/a.ts:f:1", "src/a.ts:f:1"), ("src/a.ts:f:1", "gone")], "src string, dst string")
+    got = sorted((x["role"], x["key"], x["text"], x["tokens"]) for x in graph.context_rows(e, symbols).filter("src = 'src/a.ts:f:1'").collect())
+    assert got == [("code", "src/a.ts:f:1", "b()", 1), ("dependency", "lib/b.ts:b:1", "xy", 1)]
+    assert graph.import_links(files.filter("false")).count() == 0
+
+
+def test_paths_and_savings(spark):
+    answer = 'File: lib\\app.js:42\nx\n   src/b.py:7\n{"filePath": "./c/d.ts", "file": "no dot"}\n"file": "e f.ts"\nFile: lib/app.js\n'
+    df = spark.createDataFrame([(1, answer), (2, None), (3, "")], "i int, text string")
+    got = {r["i"]: r["p"] for r in df.select("i", usage.response_paths(F.col("text")).alias("p")).collect()}
+    assert got == {1: ["lib/app.js", "src/b.py", "c/d.ts"], 2: None, 3: []}
+    log = spark.createDataFrame([(1, None, "A ", 8, 2, ["x", "y"], None), (2, None, "b", 400, 100, ["x"], None)], "call_id bigint, ts timestamp, tool string, response_chars bigint, tokens bigint, files array<string>, arrived_at timestamp")
+    files = spark.createDataFrame([("x", 41), ("y", None)], "path string, size bigint")
+    assert {tuple(r) for r in usage.savings(log, files).collect()} == {("a", 1, 2, 2, 11, 9), ("b", 1, 100, 0, 0, 0)}
+
+
+def test_sizes_as_text(spark):
+    sizes = [0, 1023, 1024, 1075, 1076, 1126, 1127, 1048575, 1048576, 5 * 1024 * 1024 + 52429, None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n bigint")
+    got = [r["t"] for r in df.select("i", format_bytes(F.col("n")).alias("t")).orderBy("i").collect()]
+    assert got == ["0 B", "1023 B", "1.0 KB", "1.0 KB", "1.1 KB", "1.1 KB", "1.1 KB", "1024.0 KB", "1.0 MB", "5.1 MB", None]
+
+
+def test_words_that_texts_may_hold(spark):
+    """The cheap test never leaves out a text with a token that is similar enough."""
+    r = random.Random(6)
+    words = ["authentication", "configuration", "load", "token", "serializeGraphNode", "cache"]
+    for x in words:
+        for threshold in (0.7, 0.8, 0.85):
+            rows = []
+            for _ in range(40):
+                t = list(x.lower())
+                for _ in range(r.randrange(4)):
+                    k = r.randrange(len(t) + 1)
+                    t[k : k + r.randrange(2)] = r.choice(["", "q", "ab"])
+                rows.append(("zz " + "".join(t) + " yy", "".join(t)))
+            df = spark.createDataFrame(rows, "text string, t string")
+            assert df.filter(fuzzy(F.lit(x), F.col("t"), threshold) & ~may_hold(F.col("text"), x, threshold)).count() == 0

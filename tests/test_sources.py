@@ -42,7 +42,10 @@ def test_index_and_operations(spark, tmp_path):
     assert index.get_relevant_context("load").first()["name"] == "load"
     assert index.get_file_summary("./src/a.ts").first()["types"] == "function=1"
     assert [r["path"] for r in index.search_code("return", "**/*.ts").collect()] == ["src/a.ts", "src/b.ts"]
+    assert index.build_dependency_graph(words_only=False, imports=True) == 3
+    assert {r["kind"] for r in index.table("edges").select("kind").collect()} == {"reference", "import"}
     assert index.build_dependency_graph() == 1
+    assert [(r["role"], r["text"].split("(")[0]) for r in index.get_context_rows("load").collect()][1:] == [("dependency", "export function helper")]
     assert [r["depth"] for r in index.get_dependency_tree("load").collect()] == [0, 1]
     assert index.get_function_with_context("load").first()["dependencies"] == 1
     assert {(r["path"], r["type"]) for r in index.find_symbol_references("helper").collect()} == {("src/a.ts", "usage"), ("src/b.ts", "definition")}
@@ -57,6 +60,7 @@ def test_index_and_operations(spark, tmp_path):
     names = lambda i: sorted((r["file_path"], r["name"]) for r in i.table("symbols").select("file_path", "name").collect())
     assert names(index) == names(full) and ("src/b.ts", "helper2") in names(index)
     index.track(1, "find_symbol", "abcd", ["src/a.ts"])
+    assert [(r["tool"], r["files"]) for r in index.get_savings().collect()] == [("find_symbol", 1)]
     assert {r["tool"]: r["calls"] for r in index.get_usage_stats(reset=True).collect()} == {"find_symbol": 1, None: 1}
     assert index.clear_cache() and not index.clear_cache()
 
