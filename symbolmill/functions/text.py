@@ -61,6 +61,18 @@ def may_hold(text: Column, word: str, threshold: float = 1.0) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def token_pattern(word: str) -> str | None:
+    """A pattern for the occurrences of ``word`` as a token of ``tokenize``; None where the word is no run of lower-case letters and digits that begins with a letter.
+
+    A token stands between the marks that part words or changes of case, and holds no such change itself.
+    """
+    if not re.fullmatch(r"[a-z][a-z0-9]+", word):
+        return None
+    forms = "|".join(dict.fromkeys([word, word.capitalize(), word.upper()]))
+    change = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+    return rf"(?=[{word[0]}{word[0].upper()}])(?:(?<![^_\-./\\\s])|{change})(?:{forms})(?:(?![^_\-./\\\s])|{change})"
+
+
 def expand(token: str) -> list[str]:
     """What a query token stands for: itself first, then its expansions."""
     return [token, *EXPANSIONS.get(token.lower(), "").split()]

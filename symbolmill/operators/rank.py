@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolmill.functions.text import edits_within, estimate_tokens, expand, fuzzy, may_hold, similarity, tokenize, tokenize_text
+from symbolmill.functions.text import edits_within, estimate_tokens, expand, fuzzy, may_hold, similarity, token_pattern, tokenize, tokenize_text
 
 K1, B = 1.5, 0.75
 ORDER = ("file_path", "ordinal", "symbol_id")
@@ -31,6 +31,12 @@ def _tokens_near(column: str, words: list[str], threshold: float = 1.0) -> Colum
     return F.when(may, _empty_safe(tokenize(F.col(column)))).otherwise(F.array().cast("array<string>"))
 
 
+def _hits(column: str, tokens: str, x: str, threshold: float = 1.0) -> Column:
+    """How many tokens of a text are like ``x``: matches of a pattern where only the word itself is, else from the ``tokens`` column."""
+    exact = token_pattern(x) if not edits_within(x, threshold) else None
+    return F.size(F.filter(F.col(tokens), _like(x, threshold))) if exact is None else F.coalesce(F.regexp_count(F.col(column), F.lit(exact)), F.lit(0))
+
+
 def _holds(x: str):
     return lambda y: F.contains(F.lower(y), F.lit(x))
 
@@ -84,14 +90,14 @@ def _signals(query: str, stats, code: bool = True, comments: bool = True, fuzzy_
         when(F.exists(t, _like(x, 0.8)), F.lit(30.0), F.lit(f'expanded query match: "{x}"'))
     if code:
         for x in q:
-            hits = F.size(F.filter(F.col("_code"), _like(x, 0.85)))
+            hits = F.col(f"_hits{q.index(x)}")
             when(hits > 0, hits * 10.0, F.concat(F.lit(f'found "{x}" '), hits.cast("string"), F.lit("x in code")))
     if comments:
         for x in q:
-            when(F.array_contains("_doc", x), F.lit(15.0), F.lit(f'found "{x}" in comment'))
+            when(_hits("doc_comment", "_doc", x) > 0, F.lit(15.0), F.lit(f'found "{x}" in comment'))
     when(F.contains(F.lit(low), F.col("type")), F.lit(20.0), F.concat(F.lit("type matches: "), F.col("type")))
     for x in q:
-        when(F.array_contains("_sig", x), F.lit(25.0), F.lit(f'found "{x}" in signature'))
+        when(_hits("signature", "_sig", x) > 0, F.lit(25.0), F.lit(f'found "{x}" in signature'))
     return out
 
 
@@ -105,9 +111,10 @@ def search(symbols: DataFrame, query: str, limit: int | None = 20, code: bool =
     q = tokenize_text(query)
     stats = name_statistics(symbols, sorted(set(q)))
     base = symbols.select(
-        "symbol_id", "name", "type", "file_path", "ordinal", "code",
+        "symbol_id", "name", "type", "file_path", "ordinal", "code", "doc_comment", "signature",
         _empty_safe(tokenize(F.col("name"))).alias("_name"), _tokens_near("code", q, 0.85).alias("_code"), _tokens_near("doc_comment", q).alias("_doc"), _tokens_near("signature", q).alias("_sig"),
     ).withColumn("_bm25", bm25(F.col("_name"), q, *stats))
+    base = base.select("*", *[_hits("code", "_code", x, 0.85).alias(f"_hits{i}") for i, x in enumerate(q)])
     signals = _signals(query, stats, code, comments, fuzzy_name)
     total = signals[0][0]
     for s, _ in signals[1:]:
@@ -116,7 +123,7 @@ def search(symbols: DataFrame, query: str, limit: int | None = 20, code: bool =
     marks = [F.when(r.isNotNull(), F.col("name")) for _, r in signals[:4]]
     if code:
         for x in q:
-            hit = F.exists("_code", _like(x, 0.85))
+            hit = F.col(f"_hits{q.index(x)}") > 0
             line = F.get(F.filter(lines, _holds(x)), F.lit(0))
             marks.append(F.when(hit, F.substring(F.regexp_replace(line, r"^\s+|\s+$", ""), 1, 100)))
     marks = F.filter(F.array(*marks), lambda m: m.isNotNull())
@@ -168,10 +175,13 @@ def find_similar(symbols: DataFrame, name: str, limit: int = 5) -> DataFrame:
     theirs = F.array_distinct(tokenize(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("code", F.lit("")))))
     tf = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(v))]) if counts else F.create_map(F.lit(""), F.lit(0))
     mine = F.array(*[F.lit(k) for k in counts]) if counts else F.array(F.lit(""))
-    common = F.array_intersect(theirs, mine)
-    shared = F.aggregate(common, F.lit(0), lambda a, t: a + F.try_element_at(tf, t))
-    scored = symbols.filter(F.col("symbol_id") != target["symbol_id"]).select("symbol_id", "name", "file_path", "ordinal", (100 * shared / (len(counts) + F.size(theirs) - F.size(common))).alias("score"))
-    return scored.filter("score > 10").orderBy(F.desc("score"), *ORDER).limit(limit)
+    # one step a column: within one expression the words would be cut out again for every use
+    cut = symbols.filter(F.col("symbol_id") != target["symbol_id"]).select("symbol_id", "name", "file_path", "ordinal", theirs.alias("_theirs"))
+    met = cut.select("symbol_id", "name", "file_path", "ordinal", F.size("_theirs").alias("_n"), F.array_intersect("_theirs", mine).alias("_common"))
+    shared = F.aggregate("_common", F.lit(0), lambda a, t: a + F.try_element_at(tf, t))
+    scored = met.select("symbol_id", "name", "file_path", "ordinal", (100 * shared / (len(counts) + F.col("_n") - F.size("_common"))).alias("score"))
+    # filtered behind the limit: in front of it Catalyst would cut the words out for the filter too
+    return scored.orderBy(F.desc("score"), *ORDER).limit(limit).filter("score > 10")
 
 
 def related(symbols: DataFrame, target: dict, limit: int | None = 20) -> DataFrame:
