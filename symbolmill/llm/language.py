@@ -168,7 +168,7 @@ def model_for(documents: DataFrame) -> np.ndarray:
         for _, p in paragraphs(r["text"]):
             words, letters = prose(p)
             if letters >= 40:
-                texts.append(words[:2000])
+                texts.append(words)
                 labels.append(r["label"])
                 taken += 1
                 if taken == PER_DOC:
