@@ -76,10 +76,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, counted here; beyond that Spark shuffles it.
+#: Bytes up to which a table is broadcast, and what a column of each kind takes; strings here are names and paths.
+BROADCAST, WIDTHS = 32 << 20, {"string": 120, "struct": 160}
 
-    Meant for narrow key lists that are cheap to count, such as a written table.
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted here, take at most BROADCAST bytes by the width of its columns; beyond that Spark shuffles it.
+
+    Meant for narrow lists of keys that are cheap to count, such as a written table.
     """
+    width = sum(WIDTHS.get(kind.split("<")[0], 8) for _, kind in df.dtypes) + 8
+    limit = BROADCAST // width
     few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df
