@@ -13,6 +13,8 @@ def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[in
 
     The likelihood's gradient comes from scaled forward and backward sums over all lines at once; steps are Adam's.
     """
+    order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))  # the longest first, so that the lines that reach a place are the first ones
+    lines, labels = [lines[i] for i in order], [labels[i] for i in order]
     names: dict[str, int] = {}
     for line in lines:
         for token in line:
@@ -32,32 +34,36 @@ def train(lines: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[in
     allowed = np.ones((LABELS, LABELS))
     allowed[OUT, IN] = 0
     first = np.array([1.0, 1.0, 0.0])
-    live = mask.T[:, :, None] > 0
+    alive = [int((length > k).sum()) for k in range(most)]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
     onehot = np.eye(LABELS)[gold]
     seen = np.einsum("nki,nkj->ij", onehot[:, :-1] * mask[:, 1:, None], onehot[:, 1:])
     real = np.flatnonzero(mask.reshape(-1))
-    own = ids.reshape(-1, width)[real]
+    # tokens of equal features are scored once
+    kinds, own = np.unique(ids.reshape(-1, width)[real], axis=0, return_inverse=True)
+    own = own.ravel()
     e = np.zeros((n * most, LABELS))
     for step in range(1, rounds + 1):
         e = e.reshape(-1, LABELS)
-        e[real] = w[own].sum(axis=1)
+        e[real] = w[kinds].sum(axis=1)[own]
         e = e.reshape(n, most, LABELS)
         t = np.exp(tr) * allowed
-        w_e = np.exp(e - e.max(axis=2, keepdims=True))
-        a, b, c = np.empty((most, n, LABELS)), np.ones((most, n, LABELS)), np.ones((most, n, 1))
+        w_e = np.exp(e - e.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
+        a, b, c = np.zeros((most, n, LABELS)), np.ones((most, n, LABELS)), np.ones((most, n, 1))
         for k in range(most):
-            new = (first if k == 0 else a[k - 1] @ t) * w_e[:, k]
-            c[k] = new.sum(axis=1, keepdims=True)
-            a[k] = new / c[k] if k == 0 else np.where(live[k], new / c[k], a[k - 1])
+            m = alive[k]
+            new = (first if k == 0 else a[k - 1, :m] @ t) * w_e[k, :m]
+            c[k, :m] = new.sum(axis=1, keepdims=True)
+            a[k, :m] = new / c[k, :m]
         for k in range(most - 2, -1, -1):
-            b[k] = np.where(live[k + 1], (w_e[:, k + 1] * b[k + 1]) @ t.T / c[k + 1], 1.0)
+            m = alive[k + 1]
+            b[k, :m] = (w_e[k + 1, :m] * b[k + 1, :m]) @ t.T / c[k + 1, :m]
         p = (a * b).transpose(1, 0, 2) * mask[:, :, None]
         ge = (onehot * mask[:, :, None] - p).reshape(-1, LABELS)
         gw = np.zeros_like(w)
         for y in range(LABELS):
-            gw[:, y] = np.bincount(own.ravel(), np.repeat(ge[real, y], width), pad + 1)
-        ahead = np.where(live[1:], w_e.transpose(1, 0, 2)[1:] * b[1:] / c[1:], 0.0)
+            gw[:, y] = np.bincount(kinds.ravel(), np.repeat(np.bincount(own, ge[real, y], len(kinds)), width), pad + 1)
+        ahead = w_e[1:] * b[1:] / c[1:] * mask.T[1:, :, None]
         gt = seen - t * np.einsum("kni,knj->ij", a[:-1], ahead, optimize=True)
         for x, g, m, v in ((w, gw / n - decay * w, *moments[:2]), (tr, gt / n, *moments[2:])):
             m += 0.1 * (g - m)
