@@ -1,6 +1,6 @@
 """Dependency graph: reference and import edges, bounded traversal, context of direct dependencies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolmill.functions.text import estimate_tokens
@@ -17,21 +17,40 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("src is not null and dst is not null").select("src", "dst").distinct()
 
 
+#: Characters of the pieces by which names look for words: a name takes the longest that fits into it.
+PIECES = (8, 4, 2, 1)
+
+
+def _pieces(text: str, sizes) -> Column:
+    """The distinct numbers of all pieces of the column ``text`` of each length in the column ``sizes`` (an array)."""
+    return F.explode(F.expr(f"array_distinct(flatten(transform({sizes}, n -> transform(sequence(1, length({text}) - n + 1), i -> xxhash64(substring({text}, i, n))))))"))
+
+
 def names_in_words(words: DataFrame, names: DataFrame) -> DataFrame:
-    """(word, name): each distinct name that is a substring of a distinct word.
+    """(word, name): each distinct name that is a substring of a distinct word; both are given once each.
 
     A name of word characters can occur in code only inside one run of word characters, so containment in code is
-    containment in one of its words. Every substring of a word, of a length that some name has, becomes a row and names join by
-    equality: work grows with the distinct words, not with words times names.
+    containment in one of its words. A word that contains a name contains all pieces of the name, so that names of which a
+    piece stands in no word drop out, and the others join by their rarest piece and are verified. Work grows with the
+    length of the words and with the words that share the rarest pieces, not with words times names; a piece's row carries
+    numbers in place of its word and name, which may be long.
     """
-    # one number for each length that a name has: as many at most as the longest name has characters
-    lengths = sorted(n for n in names.agg(F.collect_set(F.length("name"))).first()[0] if n)
-    if not lengths:
+    size = F.coalesce(*[F.when(F.length("name") >= n, F.lit(n)) for n in PIECES])
+    # at most as many numbers as PIECES has
+    sizes = sorted(n for n in names.agg(F.collect_set(size)).first()[0] if n)
+    if not sizes:
         return words.select("word", F.lit("").alias("name")).filter("false")
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("word"))
-    sized = words.filter(F.length("word") >= lengths[0]).select("word", F.explode(sizes).alias("n"))
-    parts = sized.select("word", F.explode(F.expr("transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n))")).alias("name"))
-    return parts.join(names, "name").distinct()
+    fit = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length("word"))
+    words = words.select("word", F.xxhash64("word").alias("_w"))
+    names = names.filter("name <> ''").select("name", F.unhex(F.sha2("name", 256)).alias("_n"))
+    parts = words.filter(F.length("word") >= sizes[0]).withColumn("fit", fit).select("_w", _pieces("word", "fit").alias("piece"))
+    asked = names.withColumn("fit", F.array(size)).select("_n", _pieces("name", "fit").alias("piece"))
+    known = parts.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))
+    anchors = asked.join(known, "piece", "left").groupBy("_n").agg(rarest.alias("_r")).filter("_r.n > 0").select("_n", F.col("_r.piece").alias("piece"))
+    near = parts.join(anchors.join(names, "_n").select("piece", "name"), "piece")
+    # words of equal numbers are told apart here
+    return near.join(words, "_w").filter(F.contains("word", "name")).select("word", "name")
 
 
 def reference_edges(symbols: DataFrame, words_only: bool = False) -> DataFrame:
@@ -56,16 +75,23 @@ def expand_edges(by_name: DataFrame, symbols: DataFrame) -> DataFrame:
     return by_name.join(dst, "dst_name").filter(F.expr("not startswith(src, concat(file_path, ':'))")).select("src", "dst").distinct()
 
 
+def _import_words(files: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(source, import, word) of the paths (word) that the imports of each ``source`` lead to, and (file_id, word) of all files."""
+    held = cut(files.select("file_id", F.col("path").alias("word"), F.array_distinct("imports").alias("imports"), F.col(source).alias("_source")))
+    clean = F.regexp_replace(F.regexp_replace("import", "^['\"]|['\"]$", ""), r"^\./", "")
+    imports = held.select(F.col("_source").alias("source"), F.explode("imports").alias("import")).withColumn("name", clean).filter("name <> ''")
+    paths = held.filter("word is not null").select("file_id", "word")
+    found = names_in_words(paths.select("word").distinct(), imports.select("name").distinct())
+    return imports.join(found, "name").select("source", "import", "word"), paths
+
+
 def import_edges(files: DataFrame) -> DataFrame:
     """(file_id, import, target_id): files whose path contains an import's text, quotes and one leading ``./`` taken off.
 
-    Substrings of paths join distinct imports by equality. Null lists and empty remainders find nothing.
+    Null lists and empty remainders find nothing.
     """
-    clean = F.regexp_replace(F.regexp_replace("raw", "^['\"]|['\"]$", ""), r"^\./", "")
-    imports = files.select("file_id", F.explode(F.array_distinct("imports")).alias("raw")).select("file_id", F.col("raw").alias("import"), clean.alias("name")).filter("name <> ''")
-    paths = files.filter("path is not null").select("file_id", F.col("path").alias("word"))
-    found = names_in_words(paths.select("word").distinct(), imports.select("name").distinct())
-    return imports.join(found, "name").join(paths.withColumnRenamed("file_id", "target_id"), "word").select("file_id", "import", "target_id").distinct()
+    hits, paths = _import_words(files, "file_id")
+    return hits.join(paths.withColumnRenamed("file_id", "target_id"), "word").select(F.col("source").alias("file_id"), "import", "target_id").distinct()
 
 
 def import_links(files: DataFrame) -> DataFrame:

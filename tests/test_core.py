@@ -106,6 +106,32 @@ def test_graph(spark):
     assert {(r["file_id"], r["import"], r["target_id"]) for r in graph.import_edges(files).collect()} == {(1, "./src/x", 1), (1, "'y'", 2)}
 
 
+def test_names_in_words_equal_brute_force(spark):
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abé_") for _ in range(r.randrange(1, 25))) for _ in range(80)} | {"tariff_walker_tariff_walker", "a"})
+    names = sorted({w[i : i + n] for w in words[::3] for n in (1, 2, 3, 5, 7, 8, 9, 15) for i in range(0, len(w) - n + 1, 4)} | {"", "walker_t", "x" * 30, "tariff_x"})
+    got = graph.names_in_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted((x["word"], x["name"]) for x in got) == sorted((w, n) for w in words for n in names if n and n in w)
+
+
+def shuffled_rows(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    return sum(x.shuffleWriteRecords() for x in iter_java(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)))
+
+
+def iter_java(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def test_names_of_many_lengths_shuffle_no_more_rows_than_words_have_characters(spark):
+    word = "".join(random.Random(4).choice("abcdefgh") for _ in range(4000))
+    names = [word[n : 2 * n] for n in range(100, 1100, 10)]
+    before = shuffled_rows(spark)
+    got = graph.names_in_words(spark.createDataFrame([(word,), ("abc",)], "word string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted(x["name"] for x in got) == sorted(names) and {x["word"] for x in got} == {word}
+    assert shuffled_rows(spark) - before < 5 * (len(word) + sum(map(len, names)))
+
+
 def test_structure(spark):
     paths = ["src/a.ts", "src/__init__.py", ".github/w.sh", "node_modules/x.js", "Debug/d.cs", "a.min.js", "notes.txt", "gen/a.py", "src/gen/a.py", None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_id bigint, path string")
