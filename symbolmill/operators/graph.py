@@ -96,9 +96,8 @@ def import_edges(files: DataFrame) -> DataFrame:
 
 def import_links(files: DataFrame) -> DataFrame:
     """(src_path, dst_path): which files' paths each file's imports lead to, once each. Symbol edges are kept in this form, since they are all pairs of symbols of the two files."""
-    by_id = import_edges(files)
-    path = files.filter("path is not null").select("file_id", "path").distinct()
-    return by_id.join(path.select("file_id", F.col("path").alias("src_path")), "file_id").join(path.select(F.col("file_id").alias("target_id"), F.col("path").alias("dst_path")), "target_id").select("src_path", "dst_path").distinct()
+    hits, _ = _import_words(files.filter("path is not null"), "path")
+    return hits.select(F.col("source").alias("src_path"), F.col("word").alias("dst_path")).distinct()
 
 
 def expand_imports(links: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -132,6 +132,11 @@ def test_names_of_many_lengths_shuffle_no_more_rows_than_words_have_characters(s
     assert shuffled_rows(spark) - before < 5 * (len(word) + sum(map(len, names)))
 
 
+def test_import_links_of_rows_without_an_id(spark):
+    files = spark.createDataFrame([(None, "a/main.c", ["unit/walker.h"]), (2, "b/unit/walker.h", None), (3, None, ["a/main.c"])], "file_id bigint, path string, imports array<string>")
+    assert [tuple(x) for x in graph.import_links(files).collect()] == [("a/main.c", "b/unit/walker.h")]
+
+
 def test_structure(spark):
     paths = ["src/a.ts", "src/__init__.py", ".github/w.sh", "node_modules/x.js", "Debug/d.cs", "a.min.js", "notes.txt", "gen/a.py", "src/gen/a.py", None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_id bigint, path string")
