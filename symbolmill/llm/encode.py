@@ -14,6 +14,7 @@ the last, whose row is the result. Decoding concatenates up the same tree.
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +32,8 @@ TOKENIZERS = "/opt/tokenizers"
 LEAF, SEGMENT = 768, 1 << 14
 #: Fixed value: the pre-tokeniser's public pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CERTAIN = regex.compile(r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+_CERTAIN = r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+CERTAIN, CERTAIN_BACKWARDS = regex.compile(_CERTAIN), regex.compile("(?r)" + _CERTAIN)
 
 
 def vocabulary(path: str = TOKENIZERS) -> bytes:
@@ -59,9 +61,9 @@ def last_certain(text: str) -> int:
     while True:
         at = max(0, len(text) - w)
         # two characters of context on either side keep every look-around inside the window
-        found = [m.start() for m in CERTAIN.finditer(text, at) if m.start() > at + 1 or at == 0]
-        if found:
-            return found[-1]
+        m = CERTAIN_BACKWARDS.search(text, at)
+        if m and (m.start() > at + 1 or at == 0):
+            return m.start()
         if at == 0:
             return 0
         w *= 4
@@ -161,7 +163,7 @@ def _elements(held, counts: bool, leaf: int, segment: int):
             if counts:
                 value = pa.array(sizes)
             else:
-                flat = np.fromiter((i for ids in values for i in ids), np.int32, int(sizes.sum()))
+                flat = np.fromiter(chain.from_iterable(values), np.int32, int(sizes.sum()))
                 value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
             cols = [b.column("_key").take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), value]
             yield pa.RecordBatch.from_arrays(cols, names)
