@@ -33,7 +33,8 @@ def names_in_words(words: DataFrame, names: DataFrame) -> DataFrame:
     containment in one of its words. A word that contains a name contains all pieces of the name, so that names of which a
     piece stands in no word drop out, and the others join by their rarest piece and are verified. Work grows with the
     length of the words and with the words that share the rarest pieces, not with words times names; a piece's row carries
-    numbers in place of its word and name, which may be long.
+    numbers in place of its word and name, which may be long. All joins are shuffled: by the size of the files they are read
+    from, Spark takes pieces for small, and a broadcast would pass them through the driver.
     """
     size = F.coalesce(*[F.when(F.length("name") >= n, F.lit(n)) for n in PIECES])
     # at most as many numbers as PIECES has
@@ -47,10 +48,10 @@ def names_in_words(words: DataFrame, names: DataFrame) -> DataFrame:
     asked = names.withColumn("fit", F.array(size)).select("_n", _pieces("name", "fit").alias("piece"))
     known = parts.groupBy("piece").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))
-    anchors = asked.join(known, "piece", "left").groupBy("_n").agg(rarest.alias("_r")).filter("_r.n > 0").select("_n", F.col("_r.piece").alias("piece"))
-    near = parts.join(anchors.join(names, "_n").select("piece", "name"), "piece")
+    anchors = asked.join(known.hint("merge"), "piece", "left").groupBy("_n").agg(rarest.alias("_r")).filter("_r.n > 0").select("_n", F.col("_r.piece").alias("piece"))
+    near = parts.join(anchors.join(names.hint("merge"), "_n").select("piece", "name").hint("merge"), "piece")
     # words of equal numbers are told apart here
-    return near.join(words, "_w").filter(F.contains("word", "name")).select("word", "name")
+    return near.join(words.hint("merge"), "_w").filter(F.contains("word", "name")).select("word", "name")
 
 
 def reference_edges(symbols: DataFrame, words_only: bool = False) -> DataFrame:
@@ -82,7 +83,7 @@ def _import_words(files: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     imports = held.select(F.col("_source").alias("source"), F.explode("imports").alias("import")).withColumn("name", clean).filter("name <> ''")
     paths = held.filter("word is not null").select("file_id", "word")
     found = names_in_words(paths.select("word").distinct(), imports.select("name").distinct())
-    return imports.join(found, "name").select("source", "import", "word"), paths
+    return imports.join(found.hint("merge"), "name").select("source", "import", "word"), paths
 
 
 def import_edges(files: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     Null lists and empty remainders find nothing.
     """
     hits, paths = _import_words(files, "file_id")
-    return hits.join(paths.withColumnRenamed("file_id", "target_id"), "word").select(F.col("source").alias("file_id"), "import", "target_id").distinct()
+    return hits.join(paths.withColumnRenamed("file_id", "target_id").hint("merge"), "word").select(F.col("source").alias("file_id"), "import", "target_id").distinct()
 
 
 def import_links(files: DataFrame) -> DataFrame:

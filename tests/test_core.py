@@ -132,6 +132,17 @@ def test_names_of_many_lengths_shuffle_no_more_rows_than_words_have_characters(s
     assert shuffled_rows(spark) - before < 5 * (len(word) + sum(map(len, names)))
 
 
+def broadcasts(df):
+    df.collect()  # the plan that ran is known then
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_import_edges_pass_no_table_through_the_driver(spark):
+    files = spark.createDataFrame([(1, "src/x.ts", ["./src/x", "'y'"]), (2, "lib/y.ts", None)], "file_id bigint, path string, imports array<string>")
+    words, names = spark.createDataFrame([("src/x",), ("y",)], "word string"), spark.createDataFrame([("x",), ("y",)], "name string")
+    assert broadcasts(graph.names_in_words(words, names)) == 0 == broadcasts(graph.import_edges(files))
+
+
 def test_import_links_of_rows_without_an_id(spark):
     files = spark.createDataFrame([(None, "a/main.c", ["unit/walker.h"]), (2, "b/unit/walker.h", None), (3, None, ["a/main.c"])], "file_id bigint, path string, imports array<string>")
     assert [tuple(x) for x in graph.import_links(files).collect()] == [("a/main.c", "b/unit/walker.h")]
