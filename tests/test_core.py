@@ -148,6 +148,13 @@ def test_import_links_of_rows_without_an_id(spark):
     assert [tuple(x) for x in graph.import_links(files).collect()] == [("a/main.c", "b/unit/walker.h")]
 
 
+def test_import_links_pass_no_table_through_the_driver(spark):
+    files = spark.createDataFrame([(1, "src/x.ts", ["./y", "x.ts"]), (2, "lib/y.ts", ["'y'"])], "file_id bigint, path string, imports array<string>")
+    links = graph.import_links(files)
+    assert broadcasts(links) == 0
+    assert {tuple(x) for x in links.collect()} == {("src/x.ts", "lib/y.ts"), ("src/x.ts", "src/x.ts"), ("lib/y.ts", "lib/y.ts")}
+
+
 def test_structure(spark):
     paths = ["src/a.ts", "src/__init__.py", ".github/w.sh", "node_modules/x.js", "Debug/d.cs", "a.min.js", "notes.txt", "gen/a.py", "src/gen/a.py", None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_id bigint, path string")
